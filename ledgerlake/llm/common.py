@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows in an Arrow batch that goes to Python. Long texts make batches of the default size too large for a small executor.
 BATCH_ROWS = 1000
@@ -63,3 +67,22 @@ def bounded_labels(labels: DataFrame, value: str, limit: int) -> DataFrame:
     """At most `limit` labelled doc_ids, those of the smallest hash; a doc_id labelled twice counts as the larger label."""
     one = labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull()).groupBy("doc_id").agg(F.max(value).cast("int").alias("label"))
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+
+
+def map_texts(df: DataFrame, keep: list[str], text: str, run: Callable[[list[str]], dict[str, list]], schema: str) -> DataFrame:
+    """The columns `keep` as they are and those of `schema`, which `run` makes of a batch of texts (null: empty) in Python.
+
+    Arrow batches: columns kept pass untouched, so nulls and large integers in them survive.
+    """
+    small_batches(df.sparkSession)
+    made = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(made)
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            out = run([x or "" for x in b.column(len(keep)).to_pylist()])
+            arrays = [pa.array(out[f.name], f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *arrays], names=[*keep, *(f.name for f in arrow)])
+
+    slim = df.select(*(df[c] for c in keep), df[text].cast("string").alias("__text"))
+    return slim.mapInArrow(batches, T.StructType([*(df.schema[c] for c in keep), *made.fields]))

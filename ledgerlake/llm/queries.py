@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from ledgerlake.llm.html_text import op9_html_text
 from ledgerlake.llm.quality_rules import op10_quality_rules
 
-QUERIES = {f.__name__: f for f in (op10_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op9_html_text, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
