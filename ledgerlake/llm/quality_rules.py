@@ -15,15 +15,13 @@ passes it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import bounded_labels, small_batches, table, text_or_empty
+from ledgerlake.llm.common import bounded_labels, map_texts, table
 
 #: Labelled rows that learning reads at most: statistics of these few columns go to the driver.
 SAMPLE_ROWS = 20_000
@@ -86,17 +84,14 @@ def counts_of(text: str | None) -> tuple[int, ...]:
     )
 
 
-def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = np.array([counts_of(t) for t in b["text"]], dtype=np.int64).reshape(-1, len(COUNTS))
-        yield pd.DataFrame({"doc_id": b["doc_id"], **{c: rows[:, i] for i, c in enumerate(COUNTS)}})
-
-
 def text_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and COUNTS of each row."""
-    small_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(_batches, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+
+    def run(texts: list[str]) -> dict[str, np.ndarray]:
+        rows = np.array([counts_of(t) for t in texts], dtype=np.int64).reshape(-1, len(COUNTS))
+        return {c: rows[:, i] for i, c in enumerate(COUNTS)}
+
+    return map_texts(docs, ["doc_id"], "text", run, ", ".join(f"{c} long" for c in COUNTS))
 
 
 def features() -> dict[str, Column]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ledgerlake.llm.html_text import op9_html_text
 from ledgerlake.llm.quality_rules import op10_quality_rules
+from ledgerlake.llm.simhash import op5_simhash
 
-QUERIES = {f.__name__: f for f in (op9_html_text, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op5_simhash, op9_html_text, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
