@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from ledgerlake.llm.chat import SQL as CHAT_SQL
+from ledgerlake.llm.chat import op7_chat
 from ledgerlake.llm.html_text import op9_html_text
 from ledgerlake.llm.quality_rules import op10_quality_rules
 from ledgerlake.llm.simhash import op5_simhash
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op9_html_text, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op5_simhash,
+        op7_chat,
+        op9_html_text,
+        op10_quality_rules,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op7_chat": CHAT_SQL}
