@@ -86,3 +86,32 @@ def map_texts(df: DataFrame, keep: list[str], text: str, run: Callable[[list[str
 
     slim = df.select(*(df[c] for c in keep), df[text].cast("string").alias("__text"))
     return slim.mapInArrow(batches, T.StructType([*(df.schema[c] for c in keep), *made.fields]))
+
+
+def keep_rows(df: DataFrame, text: str, test: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """The rows, all columns untouched, whose text (null: empty) passes `test` in Python batches."""
+    small_batches(df.sparkSession)
+    at = df.columns.index(text)
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            yield b.filter(pa.array(test([x or "" for x in b.column(at).to_pylist()]), pa.bool_()))
+
+    return df.mapInArrow(batches, df.schema)
+
+
+def flat_map_texts(df: DataFrame, keep: list[str], text: str, run: Callable[[list[str]], tuple[list[int], dict[str, list]]], schema: str) -> DataFrame:
+    """As map_texts, with any number of rows for a text: `run` also returns the index in the batch that each of them is of."""
+    small_batches(df.sparkSession)
+    made = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(made)
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            of, out = run([x or "" for x in b.column(len(keep)).to_pylist()])
+            at = pa.array(of, pa.int64())
+            arrays = [*(b.column(i).take(at) for i in range(len(keep))), *(pa.array(out[f.name], f.type) for f in arrow)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *(f.name for f in arrow)])
+
+    slim = df.select(*(df[c] for c in keep), df[text].cast("string").alias("__text"))
+    return slim.mapInArrow(batches, T.StructType([*(df.schema[c] for c in keep), *made.fields]))

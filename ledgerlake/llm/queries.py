@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ledgerlake.llm.chat import SQL as CHAT_SQL
 from ledgerlake.llm.chat import op7_chat
+from ledgerlake.llm.decontaminate import op2_decontaminate
 from ledgerlake.llm.html_text import op9_html_text
 from ledgerlake.llm.mixing import op6_mixing
 from ledgerlake.llm.quality_rules import op10_quality_rules
@@ -12,6 +13,7 @@ from ledgerlake.llm.simhash import op5_simhash
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_decontaminate,
         op5_simhash,
         op6_mixing,
         op7_chat,
