@@ -9,11 +9,13 @@ from ledgerlake.llm.html_text import op9_html_text
 from ledgerlake.llm.mixing import op6_mixing
 from ledgerlake.llm.quality_rules import op10_quality_rules
 from ledgerlake.llm.simhash import op5_simhash
+from ledgerlake.llm.token_store import op3_token_store
 
 QUERIES = {
     f.__name__: f
     for f in (
         op2_decontaminate,
+        op3_token_store,
         op5_simhash,
         op6_mixing,
         op7_chat,
