@@ -10,10 +10,12 @@ from ledgerlake.llm.mixing import op6_mixing
 from ledgerlake.llm.quality_rules import op10_quality_rules
 from ledgerlake.llm.simhash import op5_simhash
 from ledgerlake.llm.token_store import op3_token_store
+from ledgerlake.llm.toxicity import op1_toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_toxicity,
         op2_decontaminate,
         op3_token_store,
         op5_simhash,
