@@ -176,6 +176,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     moved = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     ids = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    ids = written(ids, "ids")  # both sides of the join are plain exchanges then, so a hot fingerprint's partition can be split
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
