@@ -32,7 +32,6 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlake.llm.common import table, written
 
@@ -42,7 +41,7 @@ PERIOD = 1000
 MAX_SOURCES = 500
 #: Default weights: shares of rows to this power, so that large sources count less than they hold.
 TEMPERATURE = 0.7
-PHASE = T.StructType.fromDDL("source string, first_block long, end_block long, phase int, base_slot long, parts int, period int, full_blocks long, slots array<int>, last_slots array<int>")
+PHASE = "source string, first_block long, end_block long, phase int, base_slot long, parts int, period int, full_blocks long, slots array<int>, last_slots array<int>"
 
 
 def parts_of(weights: Mapping[str | None, float], period: int) -> dict[str | None, int]:
