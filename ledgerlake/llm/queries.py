@@ -6,6 +6,8 @@ from ledgerlake.llm.chat import SQL as CHAT_SQL
 from ledgerlake.llm.chat import op7_chat
 from ledgerlake.llm.decontaminate import op2_decontaminate
 from ledgerlake.llm.html_text import op9_html_text
+from ledgerlake.llm.licenses import SQL as LICENSE_SQL
+from ledgerlake.llm.licenses import op4_licenses
 from ledgerlake.llm.mixing import op6_mixing
 from ledgerlake.llm.quality_rules import op10_quality_rules
 from ledgerlake.llm.simhash import op5_simhash
@@ -18,6 +20,7 @@ QUERIES = {
         op1_toxicity,
         op2_decontaminate,
         op3_token_store,
+        op4_licenses,
         op5_simhash,
         op6_mixing,
         op7_chat,
@@ -25,4 +28,4 @@ QUERIES = {
         op10_quality_rules,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op7_chat": CHAT_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_licenses": LICENSE_SQL, "op7_chat": CHAT_SQL}
