@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerlake.llm.bwt_dedup import op8_suffix_dedup
 from ledgerlake.llm.chat import SQL as CHAT_SQL
 from ledgerlake.llm.chat import op7_chat
 from ledgerlake.llm.decontaminate import op2_decontaminate
@@ -24,6 +25,7 @@ QUERIES = {
         op5_simhash,
         op6_mixing,
         op7_chat,
+        op8_suffix_dedup,
         op9_html_text,
         op10_quality_rules,
     )
