@@ -9,8 +9,10 @@ windows with one anchor are a run, and the bytes they cover are its span. A wind
 only repeat if its anchor comes twice, so anchors are counted first, and a bitmap of fixed
 size lets through those that may repeat (a full bitmap would let all through and lose
 nothing). Runs whose whole span (128-bit hash) came earlier are repeats and need no look
-at single windows. What is left are spans that came first and share an anchor with
-another span: borders of passages, edits in copies.
+at single windows. Spans that came first and share an
+anchor with another span are cut into sub-runs, which are narrowed in the same way by the
+bytes that all their windows have in common. What is left are the borders of passages and
+the edits in copies.
 
 Merging. Such spans are put together by anchor, in chunks of about CHUNK_BYTES. A chunk is
 cut into SHARDS; each shard's suffixes are sorted once, which gives its transform. The
@@ -55,7 +57,11 @@ SHARDS = 4
 HOT_SPANS = 2000
 #: log2 of the bits of a bitmap: 16 MB whatever the input.
 BITMAP = 27
-_PLACE = 27
+#: Bits of a window's place in the number that picks its anchor; the others are hash.
+_HIGH = np.uint64((1 << 64) - (1 << 27))
+_SPREAD = np.uint64(0xBF58476D1CE4E5B9)
+#: Distances from the anchor that are looked at together in the second narrowing.
+CELL = 9
 _random = np.random.default_rng(20240229)
 _TABLES = _random.integers(0, 1 << 64, (2, 256), np.uint64)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -79,35 +85,58 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Sums:
     """Hashes of any range of some bytes, of two bases."""
 
-    def __init__(self, x: np.ndarray) -> None:
+    def __init__(self, x: np.ndarray, bases: int = 2) -> None:
         self.powers = _power(len(x) + 1)
-        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(t[x] * p[: len(x)])]) for t, (p, _) in zip(_TABLES, self.powers, strict=True)]
+        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(t[x] * p[: len(x)])]) for t, (p, _) in zip(_TABLES[:bases], self.powers, strict=False)]
 
     def of(self, k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         s = self.sums[k]
         return _mix((s[b] - s[a]) * self.powers[k][1][a] + (b - a).astype(np.uint64))
 
 
-def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, start, length of span, two hashes of span) of each run of windows, in order."""
+def runs(data: bytes, spans: bool = True) -> tuple[np.ndarray, ...]:
+    """(anchor, start, length of span, place of the anchor in it, two hashes of span) of each run of windows, in order; without `spans` only the anchors."""
     out = []
     for first in range(0, max(0, len(data) - LENGTH + 1), SLICE):
         x = np.frombuffer(data, np.uint8)[first : first + SLICE + LENGTH - 1]
-        sums, n = Sums(x), len(x) - LENGTH + 1
+        sums, n = Sums(x, 2 if spans else 1), len(x) - LENGTH + 1
         grams = len(x) - ANCHOR + 1
-        hashes = _mix((sums.sums[0][ANCHOR:] - sums.sums[0][:grams]) * sums.powers[0][1][:grams])
-        least = (hashes >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(grams, dtype=np.uint64)
+        hashes = (sums.sums[0][ANCHOR:] - sums.sums[0][:grams]) * sums.powers[0][1][:grams]
+        least = (hashes * _SPREAD & _HIGH) | np.arange(grams, dtype=np.uint64)
         width, have = LENGTH - ANCHOR + 1, 1
         while have < width:
             step = min(have, width - have)
             least = np.minimum(least[:-step], least[step:])
             have += step
-        place = (least[:n] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+        place = (least[:n] & ~_HIGH).astype(np.int64)
         a = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        end = np.r_[a[1:], n] + LENGTH - 1
-        out.append((_mix(hashes[place[a]]), a + first, end - a, sums.of(0, a, end), sums.of(1, a, end)))
+        anchors = _mix(hashes[place[a]])
+        if spans:
+            end = np.r_[a[1:], n] + LENGTH - 1
+            out.append((anchors, a + first, end - a, place[a] - a, sums.of(0, a, end), sums.of(1, a, end)))
+        else:
+            out.append((anchors,))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.uint64, np.uint64)[: 6 if spans else 1])
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def sub_runs(spans: list[bytes], places: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs cut by how far their windows start before the anchor, CELL distances a cell: (span, key, start in it, length, two hashes) of each.
+
+    The key is the hash of what all windows of a cell have in common, so equal windows have equal keys.
+    """
+    size = np.fromiter(map(len, spans), np.int64, len(spans))
+    base = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(spans) else np.zeros(0, np.int64)
+    sums = Sums(np.frombuffer(b"".join(spans), np.uint8))
+    out = []
+    for c in range(-(-(LENGTH - ANCHOR + 1) // CELL)):
+        near, far = c * CELL, c * CELL + CELL - 1
+        a, b = np.maximum(0, places - far), np.minimum(size - LENGTH, places - near)
+        of = np.flatnonzero(a <= b)
+        p, start, end = (base + places)[of], (base + a)[of], (base + b)[of] + LENGTH
+        key = _mix(sums.of(0, p - near, p - far + LENGTH) + np.uint64(c + 1))
+        out.append((of, key, a[of], end - start, sums.of(0, start, end), sums.of(1, start, end)))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -130,7 +159,7 @@ def bitmap_of(hashes: DataFrame, column: str) -> np.ndarray:
 
 
 def interleaved(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merges transforms of collections of strings. Symbols: 0 ends a string (no two ends are equal), others are bytes + 1.
+    """Merges transforms of collections of strings. Symbols: 0 ends a string (no two ends are equal), others are bytes + 1 (UTF-8 has no byte 255).
 
     Returns the shard of each row in merged order, and the block of each row: rows of one
     block have the first `rounds` symbols in common.
@@ -139,7 +168,7 @@ def interleaved(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray,
     block = np.zeros(len(shard), np.int64)
     for _ in range(rounds):
         # The symbols that come before the rows: each shard's in its own order, dealt as the vector says.
-        symbols = np.empty(len(shard), np.uint16)
+        symbols = np.empty(len(shard), np.uint8)
         for k, t in enumerate(transforms):
             symbols[shard == k] = t
         order = np.argsort(symbols, kind="stable")
@@ -151,7 +180,7 @@ def interleaved(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray,
 
 def transform(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The transform of a collection, and where in the joined spans (an end after each) its rows are. Rows are in order of their first LENGTH symbols, equal ones in order of the spans."""
-    x = np.concatenate([np.r_[np.frombuffer(s, np.uint8).astype(np.uint16) + 1, np.uint16(0)] for s in spans])
+    x = np.concatenate([np.r_[np.frombuffer(s, np.uint8) + np.uint8(1), np.uint8(0)] for s in spans])
     n, ends = len(x), np.flatnonzero(x == 0)
     # Ranks of the first 2 ** k symbols, doubled; an end is a symbol of its own, in order of the spans.
     rank = x.astype(np.int64) + len(ends)
@@ -165,7 +194,7 @@ def transform(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         _, rank = np.unique(rank * (int(second.max()) + 1) + second, return_inverse=True)
         h *= 2
     rows = np.lexsort((np.arange(n), rank))
-    return np.where(np.r_[True, x[:-1] == 0][rows], 0, x[rows - 1]).astype(np.uint16), rows
+    return np.where(np.r_[True, x[:-1] == 0][rows], 0, x[rows - 1]).astype(np.uint8), rows
 
 
 def repeats(spans: list[bytes]) -> list[list[int]]:
@@ -250,56 +279,93 @@ def _merged(spans: DataFrame) -> DataFrame:
     return spans.mapInArrow(run, schema)
 
 
+RUN = "key long, a long, len long, s1 long, s2 long"
+_ID = ("doc_id", "th", "a")
+
+
+def _same(left: str = "", right: str = "f_"):  # noqa: ANN202
+    return F.col(f"{left}doc_id").eqNullSafe(F.col(f"{right}doc_id")) & (F.col(f"{left}th") == F.col(f"{right}th")) & (F.col(f"{left}a") == F.col(f"{right}a"))
+
+
+def _narrowed(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of runs (doc_id, th, RUN): the stretches of those whose span came earlier, and those that came first and share their key with another span (with n_spans)."""
+    groups = written(found.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "th", "a", "len", "key")).alias("f"), F.count("*").alias("n")).select("s1", "s2", "f.*", "n"), f"{name}-firsts")
+    again = groups.where("n > 1").select("s1", "s2", *(F.col(c).alias(f"f_{c}") for c in _ID))
+    copies = found.join(again, ["s1", "s2"]).where(~_same()).select("doc_id", "th", F.col("a").alias("start"), (F.col("a") + F.col("len")).alias("end"))
+    shared = groups.groupBy("key").agg(F.count("*").alias("n_spans")).where("n_spans > 1")
+    return copies, written(groups.drop("n").join(shared, "key"), f"{name}-open")
+
+
 def intervals(docs: DataFrame) -> DataFrame:
     """doc_id, th, start, end of stretches that together cover all repeated bytes; docs: doc_id, th (xxhash64 of the text), text."""
     spark = docs.sparkSession
+    send = spark.sparkContext.broadcast
 
     def count(texts: list[str]) -> tuple[list[int], dict[str, list]]:
-        found = [runs(_bytes(t))[0] for t in texts]
+        found = [runs(_bytes(t), False)[0] for t in texts]
         h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        return np.zeros(len(h), np.int64), {"anchor": h.view(np.int64), "n": n}
+        return np.zeros(len(h), np.int64), {"key": h.view(np.int64), "n": n}
 
-    counts = flat_map_texts(docs, [], "text", count, "anchor long, n long")
-    bitmap = spark.sparkContext.broadcast(bitmap_of(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "anchor"))
+    counts = flat_map_texts(docs, [], "text", count, "key long, n long")
+    repeated = send(bitmap_of(counts.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "key"))
 
-    def rows_of(sent, by: int, with_bytes: bool):  # noqa: ANN001, ANN202
-        def run(texts: list[str]) -> tuple[list[int], dict[str, list]]:
-            of, out = [], [[] for _ in range(5)]
-            pieces: list[bytes] = []
+    def of_texts(sent, by: int, with_bytes: bool):  # noqa: ANN001, ANN202
+        def run(texts: list[str]) -> tuple[np.ndarray, dict[str, list]]:
+            of, cols, pieces = [], [], []
             for i, t in enumerate(texts):
                 data = _bytes(t)
-                cols = runs(data)
-                keep = np.flatnonzero(_let_through(sent.value, cols[by]))
+                key, a, size, place, s1, s2 = runs(data)
+                keep = np.flatnonzero(_let_through(sent.value, s1 if by else key))
                 of.append(np.full(len(keep), i))
-                for c, v in zip(out, cols, strict=True):
-                    c.append(v[keep].view(np.int64))
+                cols.append([c[keep] for c in (key, a, size, s1, s2, place)])
                 if with_bytes:
-                    pieces += [data[a : a + n] for a, n in zip(cols[1][keep].tolist(), cols[2][keep].tolist(), strict=True)]
-            made = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-            return np.concatenate(of) if of else [], dict(zip(("anchor", "a", "len", "s1", "s2"), made, strict=True)) | ({"bytes": pieces} if with_bytes else {})
+                    pieces += [data[x : x + n] for x, n in zip(a[keep].tolist(), size[keep].tolist(), strict=True)]
+            made = [np.concatenate(c).view(np.int64) for c in zip(*cols, strict=True)] or [np.zeros(0, np.int64)] * 6
+            out = dict(zip(("key", "a", "len", "s1", "s2", "place"), made, strict=True))
+            return np.concatenate(of) if of else np.zeros(0, np.int64), out | ({"bytes": pieces} if with_bytes else {})
 
         return run
 
-    found = written(flat_map_texts(docs, ["doc_id", "th"], "text", rows_of(bitmap, 0, False), "anchor long, a long, len long, s1 long, s2 long"), "runs")
-    firsts = written(found.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "th", "a", "len", "anchor")).alias("f")).select("s1", "s2", "f.*"), "first-runs")
-    f = firsts.select("s1", "s2", *(F.col(c).alias(f"f_{c}") for c in ("doc_id", "th", "a")))
-    same = F.col("doc_id").eqNullSafe(F.col("f_doc_id")) & (F.col("th") == F.col("f_th")) & (F.col("a") == F.col("f_a"))
-    copies = found.join(f, ["s1", "s2"]).where(~same).select("doc_id", "th", F.col("a").alias("start"), (F.col("a") + F.col("len")).alias("end"))
-    shared = written(firsts.groupBy("anchor").agg(F.count("*").alias("n_spans")).where("n_spans > 1"), "shared-anchors")
-    open_ = written(firsts.join(shared, "anchor"), "open-runs")
-    wanted = spark.sparkContext.broadcast(bitmap_of(open_, "s1"))
-    bytes_ = flat_map_texts(docs, ["doc_id", "th"], "text", rows_of(wanted, 3, True), "anchor long, a long, len long, s1 long, s2 long, bytes binary")
-    o = open_.select("s1", "s2", "anchor", "n_spans", *(F.col(c).alias(f"f_{c}") for c in ("doc_id", "th", "a")))
-    spans = bytes_.drop("anchor", "len").join(o, ["s1", "s2"]).where(same).dropDuplicates(["s1", "s2"])
+    found = written(flat_map_texts(docs, ["doc_id", "th"], "text", of_texts(repeated, 0, False), RUN), "runs")
+    copies, opened = _narrowed(found, "runs")
+    wanted = send(bitmap_of(opened, "s1"))
+    pieces = flat_map_texts(docs, ["doc_id", "th"], "text", of_texts(wanted, 1, True), "a long, s1 long, s2 long, place long, bytes binary")
+    o = opened.select("s1", "s2", *(F.col(c).alias(f"f_{c}") for c in _ID))
+    spans = written(pieces.join(o, ["s1", "s2"]).where(_same()).dropDuplicates(["s1", "s2"]).select("doc_id", "th", "a", "place", "bytes"), "spans")
+    finer = written(_sub_rows(spans, None), "sub-runs")
+    more, opened = _narrowed(finer, "sub-runs")
+    sub_bytes = _sub_rows(spans, send(bitmap_of(opened, "s1")))
+    o = opened.select("s1", "s2", F.col("key").alias("anchor"), "n_spans", *(F.col(c).alias(f"f_{c}") for c in _ID))
+    rest = sub_bytes.drop("key", "len").join(o, ["s1", "s2"]).where(_same()).dropDuplicates(["s1", "s2"])
     hot = F.col("n_spans") > HOT_SPANS
     salt = F.when(hot, F.pmod(F.xxhash64("s1"), F.ceil(F.col("n_spans") / HOT_SPANS))).otherwise(F.lit(0))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = spans.select("anchor", hot.alias("hot"), salt.alias("salt"), "doc_id", "th", "a", "bytes").repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt", "doc_id", "th", "a").drop("salt")
+    dealt = rest.select("anchor", hot.alias("hot"), salt.alias("salt"), "doc_id", "th", "a", "bytes").repartition(n, "anchor", "salt").sortWithinPartitions("hot", "anchor", "salt", "doc_id", "th", "a").drop("salt")
     merged = written(_merged(dealt), "merged")
     windows = merged.where("w1 <> 0 OR w2 <> 0")
     first_windows = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "th", "start")).alias("f"), F.count("*").alias("n")).where("n > 1")
     later = windows.join(first_windows, ["w1", "w2"]).where(F.struct("doc_id", "th", "start") > F.col("f")).select("doc_id", "th", "start", "end")
-    return copies.union(merged.where("w1 = 0 AND w2 = 0").select("doc_id", "th", "start", "end")).union(later)
+    return copies.union(more).union(merged.where("w1 = 0 AND w2 = 0").select("doc_id", "th", "start", "end")).union(later)
+
+
+def _sub_rows(spans: DataFrame, sent) -> DataFrame:  # noqa: ANN001
+    """RUN of the sub-runs of spans; with a bitmap of hashes s1, those that it lets through, and their bytes."""
+    small_batches(spans.sparkSession)
+    schema = T.StructType([spans.schema["doc_id"], spans.schema["th"], *T.StructType.fromDDL(RUN + (", bytes binary" if sent else "")).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(4).to_pylist()
+            of, key, start, size, s1, s2 = sub_runs(raw, b.column(3).to_numpy())
+            keep = np.flatnonzero(_let_through(sent.value, s1)) if sent else np.arange(len(of))
+            of, start, size = of[keep], start[keep], size[keep]
+            at = pa.array(of)
+            arrays = [b.column(0).take(at), b.column(1).take(at), key[keep].view(np.int64), b.column(2).to_numpy()[of] + start, size, s1[keep].view(np.int64), s2[keep].view(np.int64)]
+            if sent:
+                arrays.append(pa.array([raw[i][x : x + n] for i, x, n in zip(of.tolist(), start.tolist(), size.tolist(), strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in arrays], names=[f.name for f in schema])
+
+    return spans.mapInArrow(run, schema)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

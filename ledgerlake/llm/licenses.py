@@ -107,7 +107,10 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, license (of the best match), score, n_matches (matching units) and licenses (all, sorted) of each row."""
     least, most, d = min(b for _, b, _ in BAGS), max(b for _, b, _ in BAGS), THRESHOLD
     spaces = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))  # noqa: E731  bigrams of a unit
-    rows = docs.select("doc_id", normalised(text_or_empty()).alias("t"))
+    # A text without any of the words has no unit that matches, so it is not looked at further.
+    low = docs.select("doc_id", F.lower(text_or_empty()).alias("low"))
+    low = low.select("doc_id", F.when(F.col("low").rlike(_ANYWHERE), F.col("low")).otherwise(F.lit("")).alias("low"))
+    rows = low.select("doc_id", normalised(F.col("low")).alias("t"))
     rows = rows.select("doc_id", "t", F.translate("t", "\x02", " ").alias("joined"))
     parts = F.concat(F.split("t", "[\n\x02]"), F.split("joined", "\n"), F.transform(F.split("joined", "\n(?: *\n)+"), lambda x: F.translate(x, "\n", " ")), F.array(F.translate("joined", "\n", " ")))
     # The size bounds first, then one look for a word that some template has; few units are left to be trimmed and compared.
@@ -120,18 +123,31 @@ def scan(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", best["name"].alias("license"), F.coalesce(-best["less"], F.lit(0.0)).alias("score"), "n_matches", F.concat_ws(",", names).alias("licenses"))
 
 
-def _anchors() -> str:
-    """A pattern that every unit with a bigram of some template matches: one word of each template bigram is in it, the rarer in common prose."""
-    words: set[str] = set()
-    for _, _, entries in BAGS:
-        for gram, _ in entries:
-            a, b = gram.split(" ")
-            if a not in words and b not in words:
-                words.add(max(a, b, key=lambda w: (len(w), w)))
-    return r"(?:^| )(?:" + "|".join(sorted(words)) + r")(?: |$)"
-
+def anchors() -> list[str]:
+    """Words of which every unit that matches a template holds one.
 
-_ANCHORS = _anchors()
+    A match shares at least d / (2 - d) of a template's b bigrams, so it lacks at most
+    b - d / (2 - d) * b of them: words that cover one bigram more cannot all be missing.
+    Long words come first, as they are rare in other texts.
+    """
+    words: set[str] = set()
+    for _, b, entries in BAGS:
+        need, left = int(b - THRESHOLD / (2 - THRESHOLD) * b + 1e-9) + 1, dict(entries)
+        while need > 0:
+            cover: Counter[str] = Counter()
+            for gram, n in left.items():
+                for w in set(gram.split(" ")):
+                    cover[w] += n
+            w = max(cover, key=lambda w: (w in words, len(w) > 5, min(cover[w], need), len(w), w))
+            words.add(w)
+            need -= cover[w]
+            left = {g: n for g, n in left.items() if w not in g.split(" ")}
+    return sorted(words)
+
+
+_ANCHORS = r"(?:^| )(?:" + "|".join(anchors()) + r")(?: |$)"
+#: The same in a text that is not yet normalised; long words match within words too, which only costs time.
+_ANYWHERE = "|".join(w if len(w) > 4 else f"(?<![a-z0-9]){w}(?![a-z0-9])" for w in anchors())
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

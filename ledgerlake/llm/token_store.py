@@ -33,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache, lru_cache
 
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.common import flat_map_texts, new_path, small_batches, table
 
 END = 2
-WINDOW = 16
+WINDOW = 8
 MEAN_IDS = 512
 MOST_IDS = 4096
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -65,7 +66,7 @@ def tokenizer_path() -> str:
 class Encoder:
     """Texts to ids as bytes. Made once a worker and kept: see encoder()."""
 
-    MOST = 400_000
+    MOST = 700_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -78,7 +79,8 @@ class Encoder:
         self.old: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        of = "H" if self.kind.itemsize == 2 else "I"
+        return [array(of, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         unsure = [UNSURE.search(t) is not None for t in texts]
@@ -196,7 +198,7 @@ def write_store(docs: DataFrame, path: str, order: list[str] | None = None, toke
     rows = encoded(docs, order, tokenizer or tokenizer_path())
     # One shuffle: a chunk that several tasks have seen stays once; a recipe has a number of its own, the same if its task runs again.
     own = F.when(F.col("kind") == 1, F.monotonically_increasing_id()).otherwise(-1)
-    rows.withColumn("own", own).dropDuplicates(["kind", "id", "own"]).drop("own").write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/raw")
+    rows.withColumn("own", own).dropDuplicates(["kind", "id", "own"]).drop("own").write.option("compression", "snappy").partitionBy("kind").parquet(f"{path}/raw")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = spark.read.schema(rows.schema).parquet(f"{path}/raw").where("kind = 1").select(*order, F.col("n").alias("n_tokens"), "chunks")
     by = [*order, "chunks"]
