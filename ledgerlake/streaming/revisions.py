@@ -7,16 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """ts with a time zone, as watermarks want it; the watermark on streams."""
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.withWatermark("ts", late) if events.isStreaming else rows
+
+
 def daily(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Events a day and type; late ones count until the watermark has passed. For streams and tables."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _timed(events, late)
     out = rows.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n_events"), F.round(F.sum("value"), 2).alias("total"))
     return out.select(F.to_date("w.start").alias("day"), "event_type", "n_events", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
     """Sessions of each user: runs of events without a pause of `gap`."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _timed(events, late)
     out = rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n_events"))
     return out.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "n_events")
 
