@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.common import flat_map_texts, small_batches, table, text_or_empty, written
+from ledgerlake.llm.common import drop_written, flat_map_texts, small_batches, table, text_or_empty, written
 
 LENGTH = 100
 ANCHOR = 32
@@ -292,8 +292,11 @@ def _narrowed(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     groups = written(found.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "th", "a", "len", "key")).alias("f"), F.count("*").alias("n")).select("s1", "s2", "f.*", "n"), f"{name}-firsts")
     again = groups.where("n > 1").select("s1", "s2", *(F.col(c).alias(f"f_{c}") for c in _ID))
     copies = found.join(again, ["s1", "s2"]).where(~_same()).select("doc_id", "th", F.col("a").alias("start"), (F.col("a") + F.col("len")).alias("end"))
+    copies = written(copies, f"{name}-copies")
     shared = groups.groupBy("key").agg(F.count("*").alias("n_spans")).where("n_spans > 1")
-    return copies, written(groups.drop("n").join(shared, "key"), f"{name}-open")
+    opened = written(groups.drop("n").join(shared, "key"), f"{name}-open")
+    drop_written(found, groups)
+    return copies, opened
 
 
 def intervals(docs: DataFrame) -> DataFrame:
@@ -326,14 +329,13 @@ def intervals(docs: DataFrame) -> DataFrame:
 
         return run
 
-    found = written(flat_map_texts(docs, ["doc_id", "th"], "text", of_texts(repeated, 0, False), RUN), "runs")
-    copies, opened = _narrowed(found, "runs")
+    copies, opened = _narrowed(written(flat_map_texts(docs, ["doc_id", "th"], "text", of_texts(repeated, 0, False), RUN), "runs"), "runs")
     wanted = send(bitmap_of(opened, "s1"))
     pieces = flat_map_texts(docs, ["doc_id", "th"], "text", of_texts(wanted, 1, True), "a long, s1 long, s2 long, place long, bytes binary")
     o = opened.select("s1", "s2", *(F.col(c).alias(f"f_{c}") for c in _ID))
     spans = written(pieces.join(o, ["s1", "s2"]).where(_same()).dropDuplicates(["s1", "s2"]).select("doc_id", "th", "a", "place", "bytes"), "spans")
-    finer = written(_sub_rows(spans, None), "sub-runs")
-    more, opened = _narrowed(finer, "sub-runs")
+    drop_written(opened)
+    more, opened = _narrowed(written(_sub_rows(spans, None), "sub-runs"), "sub-runs")
     sub_bytes = _sub_rows(spans, send(bitmap_of(opened, "s1")))
     o = opened.select("s1", "s2", F.col("key").alias("anchor"), "n_spans", *(F.col(c).alias(f"f_{c}") for c in _ID))
     rest = sub_bytes.drop("key", "len").join(o, ["s1", "s2"]).where(_same()).dropDuplicates(["s1", "s2"])
@@ -342,6 +344,7 @@ def intervals(docs: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rest.select("anchor", hot.alias("hot"), salt.alias("salt"), "doc_id", "th", "a", "bytes").repartition(n, "anchor", "salt").sortWithinPartitions("hot", "anchor", "salt", "doc_id", "th", "a").drop("salt")
     merged = written(_merged(dealt), "merged")
+    drop_written(spans, opened)
     windows = merged.where("w1 <> 0 OR w2 <> 0")
     first_windows = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "th", "start")).alias("f"), F.count("*").alias("n")).where("n > 1")
     later = windows.join(first_windows, ["w1", "w2"]).where(F.struct("doc_id", "th", "start") > F.col("f")).select("doc_id", "th", "start", "end")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,18 +46,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    release_shuffles(spark)
     return spark.read.parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished plans when the driver's garbage is collected; else they fill the disks up to the end of a job."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a table of written() once no later plan reads it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def location(df: DataFrame) -> str:
-    """The folder of a table that written() returned."""
-    return df.inputFiles()[0].rpartition("/")[0] if df.inputFiles() else ""
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes tables that written() returned once no later plan reads them."""
+    for df in tables:
+        if files := df.inputFiles():
+            drop_path(df.sparkSession, files[0].rpartition("/")[0])
 
 
 def text_or_empty(name: str = "text") -> Column:
