@@ -342,7 +342,7 @@ def intervals(docs: DataFrame) -> DataFrame:
     hot = F.col("n_spans") > HOT_SPANS
     salt = F.when(hot, F.pmod(F.xxhash64("s1"), F.ceil(F.col("n_spans") / HOT_SPANS))).otherwise(F.lit(0))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rest.select("anchor", hot.alias("hot"), salt.alias("salt"), "doc_id", "th", "a", "bytes").repartition(n, "anchor", "salt").sortWithinPartitions("hot", "anchor", "salt", "doc_id", "th", "a").drop("salt")
+    dealt = rest.select("anchor", hot.alias("hot"), salt.alias("salt"), "doc_id", "th", "a", "bytes").repartition(n, "anchor", "salt").sortWithinPartitions("hot", "anchor", "doc_id", "th", "a").drop("salt")  # salts that meet in a task stay in order of documents
     merged = written(_merged(dealt), "merged")
     drop_written(spans, opened)
     windows = merged.where("w1 <> 0 OR w2 <> 0")
