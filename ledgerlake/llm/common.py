@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +70,22 @@ def drop_written(*tables: DataFrame) -> None:
             drop_path(df.sparkSession, files[0].rpartition("/")[0])
 
 
+class WordHashes(dict):
+    """A word's 64-bit hash; forgets all at a bound, so that memory is bounded."""
+
+    MOST = 250_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+#: One for all operators, as a worker runs several in turn.
+word_hashes = WordHashes()
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -28,11 +28,10 @@ from functools import reduce
 from math import ceil
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import flat_map_texts, keep_rows, table
+from ledgerlake.llm.common import flat_map_texts, keep_rows, table, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -43,21 +42,6 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 _FILTER_BITS = 20
 
 
-class _Hashes(dict):
-    """A word's 64-bit hash; forgets all at a bound, so that memory is bounded."""
-
-    MOST = 500_000
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hash_of = _Hashes()
-
-
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -75,7 +59,7 @@ def _rolled(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(word_hashes.__getitem__, words), np.uint64, len(words))
 
 
 class Sketches:

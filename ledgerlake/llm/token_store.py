@@ -66,7 +66,9 @@ def tokenizer_path() -> str:
 class Encoder:
     """Texts to ids as bytes. Made once a worker and kept: see encoder()."""
 
-    MOST = 700_000
+    MOST = 400_000
+    #: Texts, and characters of them, that go to the library at once: its results are many times as large.
+    TEXTS, CHARS = 4096, 200_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -79,8 +81,13 @@ class Encoder:
         self.old: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
-        of = "H" if self.kind.itemsize == 2 else "I"
-        return [array(of, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        of, out, first, chars = "H" if self.kind.itemsize == 2 else "I", [], 0, 0
+        for i, t in enumerate(texts, 1):
+            chars += len(t)
+            if chars >= self.CHARS or i - first >= self.TEXTS or i == len(texts):
+                out += [array(of, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[first:i], add_special_tokens=False)]
+                first, chars = i, 0
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         unsure = [UNSURE.search(t) is not None for t in texts]

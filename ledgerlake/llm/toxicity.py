@@ -26,11 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import bounded_labels, keep_rows, map_texts, small_batches, table
+from ledgerlake.llm.common import bounded_labels, keep_rows, map_texts, small_batches, table, word_hashes
 
 BITS = 22
 SAMPLE_ROWS = 16_000
@@ -45,25 +44,10 @@ WORD = re.compile(r"\w+")
 _PAIR, _SKIP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
 
 
-class _Hashes(dict):
-    """A word's 64-bit hash; forgets all at a bound, so that memory is bounded."""
-
-    MOST = 500_000
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 7)
-        return h
-
-
-_hash_of = _Hashes()
-
-
 def features(text: str) -> np.ndarray:
     """Hashes, repeats included."""
     words = WORD.findall(text.lower())
-    h = np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(word_hashes.__getitem__, words), np.uint64, len(words))
     parts = [h * _MIX]
     if len(h) > 1:
         parts.append((h[:-1] * _PAIR + h[1:]) * _MIX)
@@ -92,16 +76,19 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -30), 30))))
 
 
-def train(texts: list[str], y: list[int]) -> Model | None:
-    """FTRL-proximal over the rows in the given order, EPOCHS times; None without both classes."""
+def distinct_features(text: str) -> np.ndarray:
+    return np.unique(features(text)).astype(np.int32)
+
+
+def train(rows: list[np.ndarray], y: list[int]) -> Model | None:
+    """FTRL-proximal over the rows' distinct features in the given order, EPOCHS times; None without both classes."""
     if len(set(y)) < 2:
         return None
-    rows = [np.unique(features(t)) for t in texts]
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)  # the last coordinate is the intercept, without L1
     last = 1 << BITS
     for _ in range(EPOCHS):
         for x, label in zip(rows, y, strict=True):
-            x = np.append(x, last)
+            x = np.append(x, np.int32(last))
             zx, nx = z[x], n[x]
             root = np.sqrt(nx)
             push = np.sign(zx) * np.maximum(np.abs(zx) - L1, 0)
@@ -131,11 +118,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model |
     ordered = rows.dropDuplicates(["doc_id"]).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, y = [], []
-        for b in batches:
-            texts += b.column(0).to_pylist()
+        rows, y = [], []
+        for b in batches:  # texts go as soon as their features are there
+            rows += map(distinct_features, b.column(0).to_pylist())
             y += b.column(1).to_pylist()
-        if model := train(texts, y):
+        if model := train(rows, y):
             yield pa.RecordBatch.from_arrays([pa.array([model.at.tobytes()]), pa.array([model.values.tobytes()]), pa.array([model.intercept])], names=["at", "w", "b"])
 
     got = ordered.mapInArrow(run, "at binary, w binary, b double").collect()

@@ -59,8 +59,8 @@ def test_clean_rows_keep_all_columns(spark, model):
 
 
 def test_same_model_each_time():
-    texts, y = ["a b c", "bad bad words here", "fine", "bad words"] * 20, [0, 1, 0, 1] * 20
-    a, b = toxicity.train(texts, y), toxicity.train(texts, y)
+    rows, y = [toxicity.distinct_features(t) for t in ["a b c", "bad bad words here", "fine", "bad words"] * 20], [0, 1, 0, 1] * 20
+    a, b = toxicity.train(rows, y), toxicity.train(rows, y)
     assert a.values.tolist() == b.values.tolist()
     assert a.score("bad words") > 0.7 > a.score("fine")
 
