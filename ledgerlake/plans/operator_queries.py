@@ -512,3 +512,18 @@ def ext_stream_daily(spark: SparkSession, d: str) -> DataFrame:
 @_q("WITH b AS (SELECT *, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM b) SELECT user_id, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS started, COUNT(*) AS n_events FROM s GROUP BY user_id, k")
 def ext_stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return streams.sessions(_t(spark, d, "events"))
+
+
+#: DuckDB ranks and counts in other widths than Spark: columns that its twin casts.
+_WIDTHS = {
+    "window_rank": {"r": "INTEGER", "dr": "INTEGER", "q": "INTEGER"},
+    "top_holdings": {"rank": "INTEGER"},
+    "first_k": {"rank": "INTEGER"},
+    "fuzzy_lookup": {"match_score": "INTEGER"},
+    "revision_numbers": {"revision": "INTEGER"},
+    "diff_symmetric": {"n": "BIGINT"},
+    "audit_log": {"query_id": "INTEGER"},
+    "doc_sections": {"n_paragraphs": "INTEGER"},
+}
+for _name, _cols in _WIDTHS.items():
+    ORACLE[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in _cols.items())}) FROM ({ORACLE[_name]}) t"

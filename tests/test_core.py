@@ -1,4 +1,9 @@
 import datetime
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +154,17 @@ def test_entry_and_oracles_agree():
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_entry_imports_without_the_training_data_operators(tmp_path):
+    root = Path(__file__).parent.parent
+    shutil.copytree(root / "ledgerlake", tmp_path / "ledgerlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    for pipeline in (False, True):  # with and without the pipeline's file
+        if pipeline:
+            (tmp_path / "corpus_pipeline.py").write_text("from ledgerlake.llm import toxicity\n")
+        code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(k.startswith('op1') for k in q) and len(q) > 100"
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as e
 
