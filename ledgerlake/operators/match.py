@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgerlake.functions.jsonx import dot
 from ledgerlake.functions.text import contains_either_way, expand, overlap, tokens
 
+#: Vectors of a block, about, and rows of it in one matrix product.
+BLOCK_VECTORS, SLICE = 4096, 256
+
 
 def fuzzy(entities: DataFrame, surface: Column, query: str, key: Sequence[Column], limit: int = 10) -> DataFrame:
     """The entities whose surface shares most tokens with the query, score over zero, ties in order of key. A null surface never matches."""
@@ -30,13 +36,44 @@ def fallback(names: Column, wanted: str, suffix: str) -> Column:
     return F.when(low == w, 1).when(low.contains(w), 2).when(low.contains(short), 3)
 
 
-def vector_top1(vectors: DataFrame, key: str, vector: str, block: str, threshold: float = 0.5) -> DataFrame:
-    """The neighbour of each vector with the greatest dot product within its block (a label), itself excluded; whether that reaches the threshold.
+def _best_of_blocks(x: np.ndarray, y: np.ndarray, kx: np.ndarray, ky: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of x, row of y and score of the best other vector in y for each of x; equal at 6 digits: the least key. x and y in slices, so no product of whole blocks is held."""
+    order = np.argsort(ky, kind="stable")
+    y, ky, out = y[order].T.copy(), ky[order], []
+    for i in range(0, len(x), SLICE):
+        s = x[i : i + SLICE] @ y
+        s[kx[i : i + SLICE, None] == ky] = -np.inf
+        row, col = np.nonzero(s >= s.max(axis=1, keepdims=True) - 1e-6)
+        score = s[row, col]
+        row, col, score = row[score > -np.inf], col[score > -np.inf], score[score > -np.inf]
+        by = np.lexsort((col, -np.floor(score * 1e6 + 0.5), row))
+        first = by[np.unique(row[by], return_index=True)[1]]
+        out.append((row[first] + i, order[col[first]], score[first]))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+
+def vector_top1(vectors: DataFrame, key: str, vector: str, threshold: float = 0.5) -> DataFrame:
+    """The neighbour of each vector with the greatest dot product over all vectors, itself excluded; whether that reaches the threshold.
 
-    Blocks keep the pairs far below all pairs; a block is compared in the join, never collected.
+    Exact: rows are dealt into blocks by key, every block meets every other one in a matrix product,
+    and the best of each pair of blocks is all that leaves a task. Rows without a key or vector are not compared.
     """
-    b = vectors.select(F.col(key).alias("__k"), F.col(vector).alias("__v"), F.col(block).alias("__b"))
-    pairs = vectors.join(b, (F.col(block) == F.col("__b")) & (F.col(key) != F.col("__k")))
-    scored = pairs.select(F.col(key), F.round(dot(F.col(vector), F.col("__v")), 6).alias("score"), F.col("__k").alias("neighbour"))
-    best = scored.groupBy(key).agg(F.max_by(F.struct("score", "neighbour"), F.struct("score", -F.col("neighbour"))).alias("best"))
-    return best.select(key, F.col("best.neighbour").alias("neighbour"), F.round("best.score", 4).alias("score"), (F.col("best.score") >= threshold).cast("int").alias("matched"))
+    rows = vectors.select(F.col(key), F.col(vector).alias("__v")).where(F.col(key).isNotNull() & F.col("__v").isNotNull())
+    blocks = -(-rows.count() // BLOCK_VECTORS) or 1
+    block, every = F.pmod(F.xxhash64(key), F.lit(blocks)).alias("__a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__b")
+    a = rows.select(key, "__v", block, every)
+    b = rows.select(F.col(key).alias("__k"), F.col("__v").alias("__w"), every.alias("__x"), block.alias("__y"))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return pa.table({f.name: pa.array([], f.type) for f in to_arrow_schema(schema)})
+        parts = [(t.column(k).combine_chunks(), t.column(v).combine_chunks()) for t, k, v in ((left, key, "__v"), (right, "__k", "__w"))]
+        (kx, x), (ky, y) = ((k, v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)) for k, v in parts)
+        i, j, s = _best_of_blocks(x, y, kx.to_numpy(zero_copy_only=False), ky.to_numpy(zero_copy_only=False))
+        return pa.table({key: kx.take(pa.array(i)), "neighbour": ky.take(pa.array(j)), "s": pa.array(s)})
+
+    of = rows.schema[key].dataType
+    schema = T.StructType([T.StructField(key, of), T.StructField("neighbour", of), T.StructField("s", T.DoubleType())])
+    scored = a.groupBy("__a", "__b").cogroup(b.groupBy("__x", "__y")).applyInArrow(best, schema).select(key, "neighbour", F.round("s", 6).alias("score"))
+    top = scored.groupBy(key).agg(F.max_by(F.struct("score", "neighbour"), F.struct("score", -F.col("neighbour"))).alias("best"))
+    return top.select(key, F.col("best.neighbour").alias("neighbour"), F.round("best.score", 4).alias("score"), (F.col("best.score") >= threshold).cast("int").alias("matched"))

@@ -168,7 +168,7 @@ def classify_text(spark: SparkSession, d: str) -> DataFrame:
 
 @_q("WITH p AS (SELECT a.vec_id, b.vec_id AS neighbour, ROUND(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT vec_id, arg_max(neighbour, (s, -neighbour)) AS neighbour, ROUND(MAX(s), 4) AS score, CAST(MAX(s) >= 0.5 AS INTEGER) AS matched FROM p GROUP BY vec_id")
 def vector_top1(spark: SparkSession, d: str) -> DataFrame:
-    return match.vector_top1(_t(spark, d, "embeddings"), "vec_id", "embedding", "label")
+    return match.vector_top1(_t(spark, d, "embeddings"), "vec_id", "embedding")
 
 
 @_q("WITH b AS (SELECT event_type, CAST(ts AS DATE) AS day, ROUND(SUM(value), 2) AS close FROM events GROUP BY 1, 2), m AS (SELECT *, " + ", ".join(f"ROUND((close - LAG(close, {n}) OVER w) / NULLIF(LAG(close, {n}) OVER w, 0) * 100, 2) AS change_{n}" for n in (1, 5, 21, 63)) + ", MAX(close) OVER (PARTITION BY event_type) AS high, MIN(close) OVER (PARTITION BY event_type) AS low, row_number() OVER (PARTITION BY event_type ORDER BY day DESC) AS n FROM b WINDOW w AS (PARTITION BY event_type ORDER BY day)) SELECT event_type, CAST(day AS VARCHAR) AS day, close, change_1, change_5, change_21, change_63, high, low, ROUND((close - high) / NULLIF(high, 0) * 100, 2) AS off_high, ROUND((close - low) / NULLIF(low, 0) * 100, 2) AS off_low FROM m WHERE n = 1")
