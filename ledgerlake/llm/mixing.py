@@ -6,11 +6,13 @@ floor(i / w) and due at ceil((i + 1) / w); each slot takes the released block wi
 earliest deadline. Weights add up to one, so each block falls into its window, and after
 any number of slots a source has less than one block more or less than its share.
 
-Weights are whole parts of PERIOD slots, so a schedule repeats after PERIOD slots with no
-deviation left, and one period tells all slots. A phase ends when a source has no block
+Weights are whole parts of a period of slots, so a schedule repeats after a period with no
+deviation left, and one period tells all slots. A phase takes PERIOD slots as its period
+where rounding moves no source by more than ROUNDING of a block in all slots that are left;
+else its period grows with the slots left, until that holds. A phase ends when a source has no block
 left; the next one shares its weight among the others in proportion, until every row has
 its place: nothing is dropped or repeated. Only counts of blocks for each source go to
-the driver, and only phase tables (at most MAX_SOURCES phases of at most two periods)
+the driver, and only phase tables (at most MAX_SOURCES phases)
 are broadcast.
 
 Ranks within a source come from a range partitioning by (source, doc_id): the row number
@@ -29,6 +31,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,11 +40,12 @@ from ledgerlake.llm.common import table, written
 
 BLOCK_ROWS = 32
 PERIOD = 1000
+#: Blocks that a source may be off its target by rounding of weights.
+ROUNDING = 0.01
 #: More sources than this are refused: group them first.
 MAX_SOURCES = 500
 #: Default weights: shares of rows to this power, so that large sources count less than they hold.
 TEMPERATURE = 0.7
-PHASE = "source string, first_block long, end_block long, phase int, base_slot long, parts int, period int, full_blocks long, slots array<int>, last_slots array<int>"
 
 
 def parts_of(weights: Mapping[str | None, float], period: int) -> dict[str | None, int]:
@@ -81,19 +85,23 @@ def earliest_deadline_first(parts: Mapping[str | None, int], period: int, blocks
 
 
 def phases(blocks: Mapping[str | None, int], weights: Mapping[str | None, float], period: int = PERIOD) -> list[tuple]:
-    """Rows of PHASE that place every block."""
+    """(source, first_block, end_block, phase, base_slot, parts, period, full_blocks, slots, last_slots) rows that place every block."""
     if len(blocks) > MAX_SOURCES:
         raise ValueError(f"{len(blocks)} sources; at most {MAX_SOURCES} can be mixed")
-    period = max(period, 2 * len(blocks))
+    usual = max(period, 2 * len(blocks))
     left = {s: n for s, n in blocks.items() if n > 0}
     done = dict.fromkeys(left, 0)
     base, number, rows = 0, 0, []
     while left:
         share = {s: float(weights.get(s) or 0) for s in left}
         share = {s: w for s, w in share.items() if w > 0} or dict.fromkeys(share, 1.0)
-        parts = parts_of(share, period)
-        pattern, _ = earliest_deadline_first(parts, period)
+        slots, total = sum(left[s] for s in share), sum(share.values())
+        period, parts = usual, parts_of(share, usual)
+        if any(slots * abs(parts[s] / period - w / total) > ROUNDING for s, w in share.items()):
+            period = max(usual, slots * len(share) * round(1 / ROUNDING))
+            parts = parts_of(share, period)
         full = min(left[s] // parts[s] for s in parts)
+        pattern = earliest_deadline_first(parts, period)[0] if full else {s: [] for s in parts}
         rest = {s: left[s] - full * parts[s] for s in parts}
         if all(rest.values()):
             last, used = earliest_deadline_first(parts, period, rest)
@@ -111,6 +119,20 @@ def phases(blocks: Mapping[str | None, int], weights: Mapping[str | None, float]
     return rows
 
 
+def slots_of(rows: list[tuple]) -> pa.Table:
+    """of (the source), at (the block), phase, slot, release_slot and deadline_slot of each block. rows: of phases()."""
+    out: dict[str, list] = {c: [] for c in ("of", "at", "phase", "slot", "release_slot", "deadline_slot")}
+    for s, first, end, number, base, parts, period, full, pattern, last in rows:
+        n = end - first
+        out["of"] += [s] * n
+        out["at"] += range(first, end)
+        out["phase"] += [number] * n
+        out["slot"] += (base + (i // parts * period + pattern[i % parts] if i < full else full // parts * period + last[i - full]) for i in range(n))
+        out["release_slot"] += (base + i * period // parts for i in range(n))
+        out["deadline_slot"] += (base - (-(i + 1) * period // parts) for i in range(n))
+    return pa.table(out, pa.schema([("of", pa.string()), ("at", pa.int64()), ("phase", pa.int32()), *((c, pa.int64()) for c in ("slot", "release_slot", "deadline_slot"))]))
+
+
 def ranked(docs: DataFrame) -> DataFrame:
     """source, doc_id, copies and rank (within the source, from 0) of each distinct (source, doc_id), as a table in the shared folder."""
     spark = docs.sparkSession
@@ -133,14 +155,9 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bl
     counts = dict(sorted(counts.items(), key=lambda x: (x[0] is not None, x[0] or "")))
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     weights = weights if weights is not None else {s: n**TEMPERATURE for s, n in counts.items()}
-    plan = F.broadcast(spark.createDataFrame(phases(blocks, weights, period), PHASE).withColumnRenamed("source", "of"))
+    plan = spark.createDataFrame(slots_of(phases(blocks, weights, period)))
     r = ranks.withColumn("block", F.expr(f"rank div {int(block_rows)}"))
-    joined = r.join(plan, r["source"].eqNullSafe(F.col("of")) & (F.col("block") >= F.col("first_block")) & (F.col("block") < F.col("end_block")))
-    i = F.col("block") - F.col("first_block")
-    placed = joined.withColumn("i", i).withColumn(
-        "slot",
-        F.col("base_slot") + F.expr("CASE WHEN i < full_blocks THEN (i div parts) * period + slots[int(i % parts)] ELSE (full_blocks div parts) * period + last_slots[int(i - full_blocks)] END"),
-    )
+    placed = r.join(plan, r["source"].eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
     return placed.select(
         "doc_id",
         "source",
@@ -148,8 +165,8 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bl
         "block",
         "phase",
         "slot",
-        (F.col("base_slot") + F.expr("(i * period) div parts")).alias("release_slot"),
-        (F.col("base_slot") + F.expr("((i + 1) * period + parts - 1) div parts")).alias("deadline_slot"),
+        "release_slot",
+        "deadline_slot",
         (F.col("slot") * block_rows + F.col("rank") % block_rows).alias("position"),
     )
 

@@ -1,0 +1,20 @@
+from ledgerlake.llm import mixing
+
+
+def test_long_schedules_stay_within_a_block_of_the_given_weights():
+    rows = {"hot": 333_000, **{f"s{k:02}": 11_000 for k in range(60)}}
+    weights = {s: n**mixing.TEMPERATURE for s, n in rows.items()}
+    weights["rare"] = 1e-4 * sum(weights.values())
+    blocks = {s: -(-n // mixing.BLOCK_ROWS) for s, n in rows.items()} | {"rare": 50}
+    plan = mixing.slots_of(mixing.phases(blocks, weights)).to_pylist()
+    assert sorted(r["slot"] for r in plan) == list(range(sum(blocks.values())))
+    assert all(r["release_slot"] <= r["slot"] < r["deadline_slot"] for r in plan)
+    total = sum(weights.values())
+    first = [r for r in plan if r["phase"] == 0]
+    end = len(first)
+    for s, w in weights.items():
+        taken = sorted(r["slot"] for r in first if r["of"] == s)
+        for i, t in enumerate([*taken, end]):
+            assert abs(i - t * w / total) < 1 + mixing.ROUNDING
+            assert t == end or abs(i + 1 - (t + 1) * w / total) < 1 + mixing.ROUNDING
+    assert end > 10_000
