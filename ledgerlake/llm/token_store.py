@@ -18,9 +18,11 @@ ids of documents together; `digests` gets the CRC-32 of each whole document from
 its chunks by combining them, so no ids are shuffled.
 
 Speed. Byte-level BPE treats the pieces of a text that its pattern cuts on their own. A
-bounded cache keeps the ids of pieces that the tokenizers library has encoded; texts with
-characters beyond those for which both Unicode tables surely agree go to the library
-whole. The strings of special tokens in a text are ordinary text.
+bounded cache keeps the ids of pieces that the tokenizers library has encoded. Texts with
+characters beyond those for which both Unicode tables surely agree, and all texts where
+the tokenizer's own settings are others (a normaliser, a prefix space, another pattern,
+added tokens that are not special), go to the library whole. The strings of special tokens
+in a text are ordinary text.
 
 Defined cases: a null text counts as empty and has only END; a null doc_id comes first;
 rows with the same order values are put in order of their chunks; a repeated row has its
@@ -31,6 +33,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from array import array
@@ -75,6 +78,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.by_pieces = cuts_as_usual(json.loads(self.tokenizer.to_str()))
+        self.line_end = self.tokenizer.token_to_id("\u010a")  # of byte-level BPE
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([END], self.kind).tobytes()
         self.young: dict[str, bytes] = {}
@@ -89,21 +94,46 @@ class Encoder:
                 first, chars = i, 0
         return out
 
+    def learn(self, pieces: set[str]) -> None:
+        """Keeps the ids of pieces. They go to the library in lines, as a line end is a piece of its own there; single calls cost more."""
+        lines, alone = [], []
+        for p in pieces:
+            (alone if self.line_end is None or p.isspace() else lines).append(p)
+        for first in range(0, len(lines), self.TEXTS):
+            some = lines[first : first + self.TEXTS]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(ids == self.line_end).tolist()
+            if len(ends) != len(some) - 1:
+                raise ValueError("the tokenizer joins a line end with what is beside it")
+            raw, k = ids.tobytes(), self.kind.itemsize
+            self.young.update(zip(some, [raw[a * k : b * k] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)], strict=True))
+        self.young.update(zip(alone, self.library(alone), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        unsure = [UNSURE.search(t) is not None for t in texts]
-        pieces = [[] if u else PIECES.findall(t) for t, u in zip(texts, unsure, strict=True)]
+        """The ids of each text, END after them."""
+        whole = [not self.by_pieces or UNSURE.search(t) is not None for t in texts]
+        pieces = [[] if w else PIECES.findall(t) for t, w in zip(texts, whole, strict=True)]
         known, old = self.young, self.old
-        for p in (missing := set().union(*pieces).difference(known)) & old.keys():
-            known[p] = old[p]
-        new = list(missing.difference(known))
-        known.update(zip(new, self.library(new), strict=True))
-        whole = iter(self.library([t for t, u in zip(texts, unsure, strict=True) if u]))
-        out = [(next(whole) if u else b"".join(map(known.__getitem__, ps))) + self.end for ps, u in zip(pieces, unsure, strict=True)]
+        missing = set().union(*pieces).difference(known)
+        if old:
+            again = missing & old.keys()
+            known.update((p, old[p]) for p in again)
+            missing -= again
+        self.learn(missing)
+        rest = iter(self.library([t for t, w in zip(texts, whole, strict=True) if w]))
+        out = [(next(rest) if w else b"".join(map(known.__getitem__, ps))) + self.end for ps, w in zip(pieces, whole, strict=True)]
         if len(known) > self.MOST:
             self.young, self.old = {}, known
         return out
 
 
+def cuts_as_usual(settings: dict) -> bool:
+    """Whether a tokenizer's settings are those for which PIECES may be encoded on their own."""
+    before = settings.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    return bool(plain and (settings.get("model") or {}).get("type") == "BPE" and not settings.get("normalizer") and all(t.get("special") for t in settings.get("added_tokens") or []))
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     import os

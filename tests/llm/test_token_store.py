@@ -11,10 +11,10 @@ from ledgerlake.llm.common import new_path
 from .helpers import no_docs, odd_docs, pairs
 
 
-def library():
+def library(path=None):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(token_store.tokenizer_path())
+    t = Tokenizer.from_file(path or token_store.tokenizer_path())
     t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, token_store.END]
 
@@ -47,6 +47,17 @@ def test_odd_cases_and_round_trip(spark):
     assert sum(r.n for r in chunks.collect()) < sum(r.n_tokens for r in rows)  # equal passages are stored once
 
 
+def test_tokenizer_of_another_kind(spark):
+    import public_tokenizers
+
+    other = public_tokenizers.path("word_bpe_49k.json")
+    docs, path, ids_of = odd_docs(spark), new_path(spark, "tokens"), library(other)
+    assert not token_store.encoder(other).by_pieces
+    token_store.write_store(docs, path, tokenizer=other)
+    want = sorted((str(r.doc_id), crc(ids_of(r.text))) for r in docs.select("doc_id", "text").collect())
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in token_store.digests(spark, path).collect()) == want
+
+
 def test_empty_table(spark):
     path = new_path(spark, "tokens")
     token_store.write_store(no_docs(spark), path)
