@@ -1,35 +1,39 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 The rows of a source, in order of doc_id, are cut into blocks of `block_rows`. Slot t of
-the mixture takes one block. With weight w, block i of a source is released at
-floor(i / w) and due at ceil((i + 1) / w); each slot takes the released block with the
-earliest deadline. Weights add up to one, so each block falls into its window, and after
-any number of slots a source has less than one block more or less than its share.
-
-Weights are whole parts of a period of slots, so a schedule repeats after a period with no
-deviation left, and one period tells all slots. A phase takes PERIOD slots as its period
-where rounding moves no source by more than ROUNDING of a block in all slots that are left;
-else its period grows with the slots left, until that holds. A phase ends when a source has no block
-left; the next one shares its weight among the others in proportion, until every row has
-its place: nothing is dropped or repeated. Only counts of blocks for each source go to
-the driver, and only phase tables (at most MAX_SOURCES phases)
-are broadcast.
+the mixture takes one block. In the ideal mixture every source that has blocks left is
+served at once, in proportion to its weight, so the ideal time t(v) at which sources have
+been served w * v blocks each is the sum of min(w * v, blocks) over the sources: exhausted
+sources leave their share to the others without a restart. Block i of a source is released
+at floor(t(i / w)) and due at ceil(t((i + 1) / w)), and each slot takes the released block
+with the earliest deadline. The ideal mixture shows that all deadlines can be met, so
+earliest deadline first meets them: at any slot a source is less than one block off. All
+this is reckoned in whole numbers from the given weights, none is rounded.
+
+What goes to the driver is a count for each source, and a row for each block. Unless
+`block_rows` is given, blocks have BLOCK_ROWS rows, or as many as make MOST_BLOCKS blocks in
+all (and one for each source), so that this stays bounded; with a block of rows at least
+for each, any number of sources can be mixed that the driver can hold counts of.
 
 Ranks within a source come from a range partitioning by (source, doc_id): the row number
 within a partition plus the counts of earlier partitions. A hot source spreads over as
-many partitions as its rows need; no window spans a source.
+many partitions as its rows need; no window spans a source's rows.
 
 Defined cases: a null source is a source of its own, a null doc_id comes first; rows that
 repeat (source, doc_id) share one place and stay together; weights for sources that have
-no rows are ignored and sources without a given weight get none until the others are
-exhausted; an empty table gives an empty result; further columns are ignored, and
-`in_mixed_order` returns them untouched.
+no rows are ignored; sources without a given weight follow, with equal weights, when the
+others are exhausted; negative and infinite weights are refused; an empty table gives an
+empty result; further columns are ignored, and `in_mixed_order` returns them untouched.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections.abc import Mapping
+from fractions import Fraction
+from itertools import accumulate
+from math import isfinite, lcm
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,98 +43,68 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.common import table, written
 
 BLOCK_ROWS = 32
-PERIOD = 1000
-#: Blocks that a source may be off its target by rounding of weights.
-ROUNDING = 0.01
-#: More sources than this are refused: group them first.
-MAX_SOURCES = 500
+#: Blocks in a plan, about, unless block_rows says otherwise: larger tables have larger blocks.
+MOST_BLOCKS = 1 << 18
 #: Default weights: shares of rows to this power, so that large sources count less than they hold.
 TEMPERATURE = 0.7
 
-
-def parts_of(weights: Mapping[str | None, float], period: int) -> dict[str | None, int]:
-    """Weights as whole parts of `period`, one at least, by largest remainder."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (-(exact[s] - int(exact[s])), s is None, s or ""))
-    k = 0
-    while (left := period - sum(out.values())) > 0:
-        out[order[k % len(order)]] += 1
-        k += 1
-    while left < 0:
-        out[max(out, key=lambda s: (out[s], s is not None, s or ""))] -= 1
-        left += 1
+Windows = dict[str | None, list[tuple[int, int]]]
+
+
+def windows(blocks: Mapping[str | None, int], weights: Mapping[str | None, float]) -> Windows:
+    """(release, deadline) of each block of each source."""
+    if bad := [w for w in weights.values() if w is not None and not (w >= 0 and isfinite(w))]:
+        raise ValueError(f"weights are finite and not negative, not {bad[0]}")
+    live = {s: n for s, n in blocks.items() if n > 0}
+    first = {s: Fraction(weights.get(s) or 0) for s in live}
+    out: Windows = {}
+    base = 0
+    for group in ({s: w for s, w in first.items() if w}, {s: Fraction(1) for s, w in first.items() if not w}):
+        if not group:
+            continue
+        scale = lcm(*(w.denominator for w in group.values()))
+        whole = {s: int(w * scale) for s, w in group.items()}
+        order = sorted(group, key=lambda s: Fraction(live[s], whole[s]))
+        ends = [live[s] / whole[s] for s in order]  # when, on the scale of v, a source is exhausted
+        gone = [0, *accumulate(live[s] for s in order)]
+        served = [sum(whole.values())]
+        for s in order:
+            served.append(served[-1] - whole[s])
+        for k, s in enumerate(order):
+            n, w = live[s], whole[s]
+            at = [min(k, bisect_right(ends, i / w)) for i in range(n + 1)]
+            release = [base + gone[j] + i * served[j] // w for i, j in enumerate(at[:-1])]
+            due = [base + gone[j] - (-i * served[j] // w) for i, j in enumerate(at) if i]
+            out[s] = list(zip(release, due, strict=True))
+        base += gone[-1]
     return out
 
 
-def earliest_deadline_first(parts: Mapping[str | None, int], period: int, blocks: Mapping[str | None, int] | None = None) -> tuple[dict[str | None, list[int]], int]:
-    """The slots of each source in one period, and the slots used. blocks: what each source has left; stops when one has no more."""
-    names = list(parts)
-    waiting = [(0, k, 0) for k in range(len(names))]  # release, source, block
+def earliest_deadline_first(of: Windows) -> dict[str | None, list[int]]:
+    """The slot of each block of each source; ties go to the source that comes first."""
+    names = list(of)
+    waiting = [(of[s][0][0], k, 0) for k, s in enumerate(names) if of[s]]  # release, source, block
+    heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []  # deadline, source, block
     out: dict[str | None, list[int]] = {s: [] for s in names}
-    heapq.heapify(waiting)
-    for t in range(period):
+    for t in range(sum(map(len, of.values()))):
         while waiting and waiting[0][0] <= t:
             _, k, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * period // parts[names[k]]), k, i))
+            heapq.heappush(ready, (of[names[k]][i][1], k, i))
         _, k, i = heapq.heappop(ready)
         out[names[k]].append(t)
-        if i + 1 < parts[names[k]]:
-            heapq.heappush(waiting, ((i + 1) * period // parts[names[k]], k, i + 1))
-        if blocks is not None and blocks[names[k]] == i + 1:
-            return out, t + 1
-    return out, period
-
-
-def phases(blocks: Mapping[str | None, int], weights: Mapping[str | None, float], period: int = PERIOD) -> list[tuple]:
-    """(source, first_block, end_block, phase, base_slot, parts, period, full_blocks, slots, last_slots) rows that place every block."""
-    if len(blocks) > MAX_SOURCES:
-        raise ValueError(f"{len(blocks)} sources; at most {MAX_SOURCES} can be mixed")
-    usual = max(period, 2 * len(blocks))
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    base, number, rows = 0, 0, []
-    while left:
-        share = {s: float(weights.get(s) or 0) for s in left}
-        share = {s: w for s, w in share.items() if w > 0} or dict.fromkeys(share, 1.0)
-        slots, total = sum(left[s] for s in share), sum(share.values())
-        period, parts = usual, parts_of(share, usual)
-        if any(slots * abs(parts[s] / period - w / total) > ROUNDING for s, w in share.items()):
-            period = max(usual, slots * len(share) * round(1 / ROUNDING))
-            parts = parts_of(share, period)
-        full = min(left[s] // parts[s] for s in parts)
-        pattern = earliest_deadline_first(parts, period)[0] if full else {s: [] for s in parts}
-        rest = {s: left[s] - full * parts[s] for s in parts}
-        if all(rest.values()):
-            last, used = earliest_deadline_first(parts, period, rest)
-        else:
-            last, used = {s: [] for s in parts}, 0
-        for s in parts:
-            n = full * parts[s] + len(last[s])
-            if n:
-                rows.append((s, done[s], done[s] + n, number, base, parts[s], period, full * parts[s], pattern[s], last[s]))
-            done[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n}
-        base += full * period + used
-        number += 1
-    return rows
-
-
-def slots_of(rows: list[tuple]) -> pa.Table:
-    """of (the source), at (the block), phase, slot, release_slot and deadline_slot of each block. rows: of phases()."""
-    out: dict[str, list] = {c: [] for c in ("of", "at", "phase", "slot", "release_slot", "deadline_slot")}
-    for s, first, end, number, base, parts, period, full, pattern, last in rows:
-        n = end - first
-        out["of"] += [s] * n
-        out["at"] += range(first, end)
-        out["phase"] += [number] * n
-        out["slot"] += (base + (i // parts * period + pattern[i % parts] if i < full else full // parts * period + last[i - full]) for i in range(n))
-        out["release_slot"] += (base + i * period // parts for i in range(n))
-        out["deadline_slot"] += (base - (-(i + 1) * period // parts) for i in range(n))
-    return pa.table(out, pa.schema([("of", pa.string()), ("at", pa.int64()), ("phase", pa.int32()), *((c, pa.int64()) for c in ("slot", "release_slot", "deadline_slot"))]))
+        if i + 1 < len(of[names[k]]):
+            heapq.heappush(waiting, (of[names[k]][i + 1][0], k, i + 1))
+    return out
+
+
+def plan_of(blocks: Mapping[str | None, int], weights: Mapping[str | None, float]) -> pa.Table:
+    """of (the source), at (the block), slot, release_slot and deadline_slot of each block."""
+    of = windows(blocks, weights)
+    slots = earliest_deadline_first(of)
+    rows = [(s, i, slot, *window) for s, ws in of.items() for i, (slot, window) in enumerate(zip(slots[s], ws, strict=True))]
+    schema = pa.schema([("of", pa.string()), *((c, pa.int64()) for c in ("at", "slot", "release_slot", "deadline_slot"))])
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema) if rows else schema.empty_table()
 
 
 def ranked(docs: DataFrame) -> DataFrame:
@@ -143,35 +117,25 @@ def ranked(docs: DataFrame) -> DataFrame:
     counts = keys.groupBy("part", "source").agg(F.min("at").alias("first_at"), F.count("*").alias("n"))  # a row a partition and source in it
     before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select(F.col("part").alias("p"), F.col("source").alias("s"), "first_at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    joined = keys.join(F.broadcast(counts), (keys["part"] == F.col("p")) & keys["source"].eqNullSafe(F.col("s")))
+    joined = keys.join(counts, (keys["part"] == F.col("p")) & keys["source"].eqNullSafe(F.col("s")))
     return joined.select("source", "doc_id", "copies", (F.col("offset") + F.col("at") - F.col("first_at")).alias("rank"))
 
 
-def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
-    """The place of each distinct (source, doc_id): block, phase, slot, window and position in the mixture."""
+def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int | None = None) -> DataFrame:
+    """The place of each distinct (source, doc_id): block, slot, window and position in the mixture."""
     spark = docs.sparkSession
     ranks = ranked(docs)
-    counts = {r["source"]: r["n"] for r in ranks.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
+    counts = {r["source"]: r["n"] for r in ranks.groupBy("source").agg(F.count("*").alias("n")).collect()}
     counts = dict(sorted(counts.items(), key=lambda x: (x[0] is not None, x[0] or "")))
-    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
+    size = int(block_rows or max(BLOCK_ROWS, -(-sum(counts.values()) // MOST_BLOCKS)))
     weights = weights if weights is not None else {s: n**TEMPERATURE for s, n in counts.items()}
-    plan = spark.createDataFrame(slots_of(phases(blocks, weights, period)))
-    r = ranks.withColumn("block", F.expr(f"rank div {int(block_rows)}"))
+    plan = spark.createDataFrame(plan_of({s: -(-n // size) for s, n in counts.items()}, weights))
+    r = ranks.withColumn("block", F.expr(f"rank div {size}"))
     placed = r.join(plan, r["source"].eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
-    return placed.select(
-        "doc_id",
-        "source",
-        "copies",
-        "block",
-        "phase",
-        "slot",
-        "release_slot",
-        "deadline_slot",
-        (F.col("slot") * block_rows + F.col("rank") % block_rows).alias("position"),
-    )
-
-
-def in_mixed_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    return placed.select("doc_id", "source", "copies", "block", "slot", "release_slot", "deadline_slot", (F.col("slot") * size + F.col("rank") % size).alias("position"))
+
+
+def in_mixed_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int | None = None) -> DataFrame:
     """All rows and columns of docs, sorted by their place in the mixture; written as Parquet, files and rows keep that order."""
     places = mixed(docs, weights, block_rows).select(F.col("source").alias("__s"), F.col("doc_id").alias("__d"), F.col("position").alias("__position"))
     joined = docs.join(places, docs["doc_id"].eqNullSafe(F.col("__d")) & docs["source"].eqNullSafe(F.col("__s")))
