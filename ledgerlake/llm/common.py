@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,6 +71,25 @@ def drop_written(*tables: DataFrame) -> None:
             drop_path(df.sparkSession, files[0].rpartition("/")[0])
 
 
+#: log2 of the bits of a bitmap: 16 MB whatever the input. One that fills up lets more through and loses nothing.
+BITMAP = 27
+
+
+def bitmap_of(hashes: DataFrame, column: str) -> np.ndarray:
+    """2 ** BITMAP bits, set at the leading bits of each hash (long). At most 2 ** (BITMAP - 6) rows come to the driver."""
+    at = F.shiftrightunsigned(column, 64 - BITMAP)
+    words = hashes.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, int(shiftrightunsigned({column}, {64 - BITMAP}) & 63))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP - 6), np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def let_through(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes (unsigned) have their bit set."""
+    at = h >> np.uint64(64 - BITMAP)
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 class WordHashes(dict):
     """A word's 64-bit hash; forgets all at a bound, so that memory is bounded."""
 
