@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 MISSING = ("NA", "N/A", "-", "--", "")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 #: Separators are spaces by then.
-DATE_FORMATS = ("d MMM yyyy", "d MMMM yyyy", "d MMM yy", "yyyy MM dd", "d MM yyyy")
+DATE_FORMATS = ("d MMM yyyy", "d MMMM yyyy", "d MMM yy", "d MMMM yy", "yyyy MM dd", "d MM yyyy")
 
 
 def na_to_null(c: Column) -> Column:
@@ -28,14 +28,19 @@ def to_int(c: Column) -> Column:
 
 
 def to_date(c: Column) -> Column:
-    """The first of DATE_FORMATS that fits; null if none does."""
-    plain = F.trim(F.regexp_replace(c, "[-/]", " "))
-    return F.coalesce(*(F.try_to_date(plain, f) for f in DATE_FORMATS))
+    """The first of DATE_FORMATS that fits; null if none does. Years of two digits are those from 1969 to 2068."""
+    plain = F.trim(F.regexp_replace(c, r"[-/\s]+", " "))
+
+    def read(pattern: str) -> Column:
+        day = F.try_to_date(plain, pattern)
+        return day if "yyyy" in pattern else F.when(F.year(day) > 2068, F.add_months(day, -1200)).otherwise(day)
+
+    return F.coalesce(*map(read, DATE_FORMATS))
 
 
 def as_of(c: Column) -> Column:
-    """The date after 'As on' in a text."""
-    return to_date(F.nullif(F.regexp_extract(c, r"(?i)as on\s*[:-]?\s*(\d{1,2} [A-Za-z]{3,9} \d{4})", 1), F.lit("")))
+    """The date after 'As on' in a text, in any spelling of day, month name and year that to_date takes."""
+    return to_date(F.nullif(F.regexp_extract(c, r"(?i)as\s+on\s*[:-]?\s*(\d{1,2}[-/\s]+[A-Za-z]{3,9}[-/\s]+(?:\d{4}|\d{2}))\b", 1), F.lit("")))
 
 
 def after_marker(c: Column, marker: str, most: int = 200) -> Column:
@@ -53,7 +58,7 @@ def age(c: Column) -> Column:
 
 def month_key(c: Column) -> Column:
     """'March 2024' to '2024-03'; null for other texts."""
-    name, year = F.lower(F.regexp_extract(c, r"^\s*([A-Za-z]{3,9})[ -](\d{4})\s*$", 1)), F.regexp_extract(c, r"^\s*([A-Za-z]{3,9})[ -](\d{4})\s*$", 2)
+    name, year = F.lower(F.regexp_extract(c, r"^\s*([A-Za-z]{3,9})[\s-]*(\d{4})\s*$", 1)), F.regexp_extract(c, r"^\s*([A-Za-z]{3,9})[\s-]*(\d{4})\s*$", 2)
     at = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(name, 1, 3))
     return F.when((year != "") & (at > 0), F.concat_ws("-", year, F.lpad(at.cast("string"), 2, "0")))
 

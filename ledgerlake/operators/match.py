@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ledgerlake.functions.jsonx import cosine
 from ledgerlake.functions.text import contains_either_way, expand, overlap, tokens
 
 #: Vectors of a block, about, and rows of it in one matrix product.
@@ -23,10 +24,24 @@ def fuzzy(entities: DataFrame, surface: Column, query: str, key: Sequence[Column
     return entities.withColumn("match_score", score).where("match_score > 0").orderBy(F.desc("match_score"), *key).limit(limit)
 
 
-def first_topic(questions: DataFrame, question: str, topics: DataFrame, alias: str, position: str) -> DataFrame:
-    """Each question with the first topic, by position, of which an alias is in it or that it is in. topics: a small table of reference texts."""
-    hit = questions.join(F.broadcast(topics), contains_either_way(F.col(alias), F.col(question)), "left")
-    return hit.groupBy(*questions.columns).agg(F.min(position).alias(position))
+def first_topic(questions: DataFrame, question: str, topics: Sequence[tuple[int, str]], name: str) -> DataFrame:
+    """Each question with the position of the first topic of which an alias is in it or that it is in; null without one. topics: (position, alias) of a small list of reference texts."""
+    hits = F.array_compact(F.array(*(F.when(contains_either_way(F.lit(alias), F.col(question)), F.lit(at)) for at, alias in topics)))
+    return questions.withColumn(name, F.array_min(hits) if topics else F.lit(None).cast("int"))
+
+
+def topic_search(questions: DataFrame, key: str, question: str, topics: Sequence[tuple[int, str]], vectors: DataFrame, topic_vectors: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """key, topic, how (alias, vector or not found) and score: a topic by its text, else the one of the nearest vector if that is near enough.
+
+    vectors: key and vector of questions; topic_vectors: position and vector of topics, as many as there are topics. Of equally near topics the first one.
+    """
+    found = first_topic(questions, question, topics, "topic")
+    held = F.broadcast(topic_vectors.agg(F.sort_array(F.collect_list(F.struct("position", "vector"))).alias("__all")))
+    near = F.array_max(F.transform("__all", lambda t: F.struct(cosine(F.col("vector"), t["vector"]).alias("score"), (-t["position"]).alias("at"))))
+    asked = found.where("topic IS NULL").join(vectors, key, "left").join(held).withColumn("near", near)
+    close = F.col("near.score") >= threshold
+    rest = asked.select(key, F.when(close, -F.col("near.at")).alias("topic"), F.when(close, "vector").otherwise("not found").alias("how"), F.round(F.col("near.score"), 4).alias("score"))
+    return found.where("topic IS NOT NULL").select(key, "topic", F.lit("alias").alias("how"), F.lit(None).cast("double").alias("score")).union(rest.select(key, F.col("topic").cast("int"), "how", "score"))
 
 
 def fallback(names: Column, wanted: str, suffix: str) -> Column:
@@ -53,7 +68,7 @@ def _best_of_blocks(x: np.ndarray, y: np.ndarray, kx: np.ndarray, ky: np.ndarray
 
 
 def vector_top1(vectors: DataFrame, key: str, vector: str, threshold: float = 0.5) -> DataFrame:
-    """The neighbour of each vector with the greatest dot product over all vectors, itself excluded; whether that reaches the threshold.
+    """The neighbour of each vector with the greatest cosine over all vectors, itself excluded; whether that reaches the threshold. A zero vector has cosine 0 with all.
 
     Exact: rows are dealt into blocks by key, every block meets every other one in a matrix product,
     and the best of each pair of blocks is all that leaves a task. Rows without a key or vector are not compared.
@@ -69,6 +84,7 @@ def vector_top1(vectors: DataFrame, key: str, vector: str, threshold: float = 0.
             return pa.table({f.name: pa.array([], f.type) for f in to_arrow_schema(schema)})
         parts = [(t.column(k).combine_chunks(), t.column(v).combine_chunks()) for t, k, v in ((left, key, "__v"), (right, "__k", "__w"))]
         (kx, x), (ky, y) = ((k, v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)) for k, v in parts)
+        x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (x, y))
         i, j, s = _best_of_blocks(x, y, kx.to_numpy(zero_copy_only=False), ky.to_numpy(zero_copy_only=False))
         return pa.table({key: kx.take(pa.array(i)), "neighbour": ky.take(pa.array(j)), "s": pa.array(s)})
 

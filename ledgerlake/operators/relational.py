@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,9 +54,10 @@ def nearest_value(x: Column, to: Sequence[float]) -> Column:
 
 
 def valid_at(facts: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
-    """Facts with the span of their key that holds at their time; an open end is null."""
-    s = spans.withColumnRenamed(key, "__k")
-    return facts.join(s, (F.col(key) == F.col("__k")) & (F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))).drop("__k")
+    """Facts with the span of their key that holds at their time; an open end is null. Spans of a key do not overlap: the last one that starts by then is the only one that can hold, so no pairs are made."""
+    values = [c for c in spans.columns if c != key]
+    found = as_of(facts, spans.where(F.col(start).isNotNull()), key, at, start, values)
+    return found.where(F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(at) < F.col(end))))
 
 
 def first_page_with(words: DataFrame, doc: str, page: str, text: str, anchor: str) -> DataFrame:
@@ -66,29 +66,16 @@ def first_page_with(words: DataFrame, doc: str, page: str, text: str, anchor: st
     return words.withColumn("__p", hit).where(F.col(page) == F.col("__p")).drop("__p")
 
 
-def clustered_rows(words: DataFrame, tolerance: float = 3.5) -> DataFrame:
-    """`line` of each word (doc_id, page, ord, top, ...): the first line on its page whose first word is within the tolerance, in order of ord.
-
-    Depends on the order of the words, so it runs once a page in Python.
-    """
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ord", kind="stable")
-        first: list[float] = []
-        lines = []
-        for top in page["top"]:
-            at = next((i for i, y in enumerate(first) if abs(top - y) <= tolerance), len(first))
-            if at == len(first):
-                first.append(top)
-            lines.append(at)
-        return page.assign(line=lines)
-
-    schema = ", ".join(f"{c} {t}" for c, t in words.dtypes) + ", line long"
-    return words.groupBy("doc_id", "page").applyInPandas(run, schema)
+def digits(c: Column, n: int = 6) -> Column:
+    """A number with n significant digits."""
+    x = c.cast("double")
+    scale = F.pow(F.lit(10.0), n - 1 - F.floor(F.log10(F.abs(x))))
+    return F.when((x == 0) | F.isnan(x), x).otherwise(F.round(x * scale, 0) / scale)
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows, with how often, of one side that the other lacks; side is 'left' or 'right'."""
+    """Rows, with how often, of one side that the other lacks; side is 'left' or 'right'. Doubles and floats count as equal if six digits are."""
+    a, b = (x.select(*(digits(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in x.dtypes)) for x in (a, b))
     count = lambda x, s: x.groupBy(*x.columns).agg(F.count("*").alias("__n")).withColumn("__s", F.lit(s))
     both = count(a, 1).union(count(b, -1)).groupBy(*a.columns).agg(F.sum(F.col("__n") * F.col("__s")).alias("__d")).where("__d <> 0")
     return both.select(*a.columns, F.when(F.col("__d") > 0, "left").otherwise("right").alias("side"), F.abs("__d").alias("n"))

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import clean, jsonx, text
-from ledgerlake.operators import match, relational, snapshot
+from ledgerlake.operators import logs, match, relational, snapshot
+from ledgerlake.plans import document_queries
 from ledgerlake.plans.guard import query
 from ledgerlake.plans.sql_queries import SQL
 from ledgerlake.sources import tables
@@ -144,8 +145,20 @@ _TOPICS = [(0, "widget"), (1, "red ring"), (2, "ring"), (3, "a small gear in a b
 
 @_q("SELECT p_partkey, p_name, MIN(position) AS topic FROM part LEFT JOIN (VALUES (0, 'widget'), (1, 'red ring'), (2, 'ring'), (3, 'a small gear in a box')) t(position, alias) ON contains(lower(trim(p_name)), alias) OR contains(alias, lower(trim(p_name))) GROUP BY p_partkey, p_name")
 def faq_match(spark: SparkSession, d: str) -> DataFrame:
-    topics = spark.createDataFrame(_TOPICS, "topic int, alias string")
-    return match.first_topic(_t(spark, d, "part").select("p_partkey", "p_name"), "p_name", topics, "alias", "topic")
+    return match.first_topic(_t(spark, d, "part").select("p_partkey", "p_name"), "p_name", _TOPICS, "topic")
+
+
+_TOPIC_SQL = "(VALUES (0, 'widget'), (1, 'red ring'), (2, 'ring'), (3, 'a small gear in a box')) t(position, alias)"
+
+
+@_q(
+    f"WITH a AS (SELECT p_partkey, MIN(position) AS topic FROM part LEFT JOIN {_TOPIC_SQL} ON contains(lower(trim(p_name)), alias) OR contains(alias, lower(trim(p_name))) GROUP BY p_partkey), v AS (SELECT p_partkey, t.vec_id AS position, list_cosine_similarity(e.embedding::DOUBLE[], t.embedding::DOUBLE[]) AS s FROM a JOIN embeddings e ON e.vec_id = p_partkey, (SELECT * FROM embeddings WHERE vec_id < 4) t WHERE a.topic IS NULL), b AS (SELECT p_partkey, arg_max(position, (s, -position)) AS position, MAX(s) AS s FROM v GROUP BY p_partkey) "
+    "SELECT a.p_partkey, CAST(CASE WHEN a.topic IS NOT NULL THEN a.topic WHEN b.s >= 0.5 THEN b.position END AS INTEGER) AS topic, CASE WHEN a.topic IS NOT NULL THEN 'alias' WHEN b.s >= 0.5 THEN 'vector' ELSE 'not found' END AS how, CASE WHEN a.topic IS NULL THEN ROUND(b.s, 4) END AS score FROM a LEFT JOIN b USING (p_partkey)"
+)
+def topic_search(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    topics = e.where("vec_id < 4").select(F.col("vec_id").cast("int").alias("position"), "vector")
+    return match.topic_search(_t(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", _TOPICS, e.withColumnRenamed("vec_id", "p_partkey"), topics)
 
 
 @_q("SELECT p_partkey, CASE WHEN lower(p_name) = 'red widget' THEN 1 WHEN contains(lower(p_name), 'red widget') THEN 2 WHEN contains(lower(p_name), 'red') THEN 3 END AS tier FROM part WHERE contains(lower(p_name), 'red')")
@@ -166,7 +179,7 @@ def classify_text(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", text.first_label(F.col("text"), [("licensed under", "licence"), ("idiot", "rude"), ("***", "noise")], "plain").alias("reason"))
 
 
-@_q("WITH p AS (SELECT a.vec_id, b.vec_id AS neighbour, ROUND(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT vec_id, arg_max(neighbour, (s, -neighbour)) AS neighbour, ROUND(MAX(s), 4) AS score, CAST(MAX(s) >= 0.5 AS INTEGER) AS matched FROM p GROUP BY vec_id")
+@_q("WITH p AS (SELECT a.vec_id, b.vec_id AS neighbour, ROUND(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) SELECT vec_id, arg_max(neighbour, (s, -neighbour)) AS neighbour, ROUND(MAX(s), 4) AS score, CAST(MAX(s) >= 0.5 AS INTEGER) AS matched FROM p GROUP BY vec_id")
 def vector_top1(spark: SparkSession, d: str) -> DataFrame:
     return match.vector_top1(_t(spark, d, "embeddings"), "vec_id", "embedding")
 
@@ -245,7 +258,9 @@ def period_label(spark: SparkSession, d: str) -> DataFrame:
 
 @_q("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders")
 def extract_as_of(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "orders").select("o_orderkey", clean.as_of(F.concat(F.lit("Report As On: "), F.date_format("o_orderdate", "d MMM yyyy"), F.lit(" page 1"))).cast("string").alias("day"))
+    k, at = F.col("o_orderkey") % 5, F.col("o_orderdate")
+    spelled = F.when(k == 0, F.concat(F.lit("As On: "), F.date_format(at, "d MMM yyyy"))).when(k == 1, F.concat(F.lit("as on "), F.date_format(at, "dd-MMM-yy"))).when(k == 2, F.concat(F.lit("AS  ON - "), F.date_format(at, "d/MMM/yyyy"))).when(k == 3, F.concat(F.lit("As On:"), F.date_format(at, "d   MMMM yyyy"))).otherwise(F.concat(F.lit("As On "), F.date_format(at, "dd MMMM yy")))
+    return _t(spark, d, "orders").select("o_orderkey", clean.as_of(F.concat(F.lit("Report "), spelled, F.lit(" page 1"))).cast("string").alias("day"))
 
 
 @_q("SELECT doc_id, substring(text, instr(lower(text), 'the '), 200) AS part FROM documents WHERE instr(lower(text), 'the ') > 0")
@@ -480,8 +495,13 @@ def doc_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints; a temporary one in local tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerlake-")
+    """The folder that the session names for checkpoints; a temporary one only in local tests, as executors of a cluster could not see it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="ledgerlake-")
 
 
 @_q("SELECT p_name AS name, p_type AS kind, COUNT(*) AS n FROM part GROUP BY 1, 2")
@@ -514,6 +534,83 @@ def ext_stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return streams.sessions(_t(spark, d, "events"))
 
 
+@_q("SELECT row_number() OVER (ORDER BY CASE WHEN event_type = 'error' THEN 1 ELSE 0 END, ts, event_id) AS query_id, event_id FROM events")
+def audit_append(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    e = _t(spark, d, "events").select("event_id", "ts", "event_type")
+    logs.append(e.where("event_type <> 'error'"), path, ["ts", "event_id"])
+    logs.append(e.where("event_type = 'error'"), path, ["ts", "event_id"])
+    return logs.read_log(spark, path, "event_id long").select("query_id", "event_id")
+
+
+@_q("SELECT event_id, user_id AS query_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
+def feedback_unknown(spark: SparkSession, d: str) -> DataFrame:
+    log = _t(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("query_id"))
+    return snapshot.unknown(log, _t(spark, d, "events").select("event_id", F.col("user_id").alias("query_id")), "query_id")
+
+
+@_q("SELECT r_name AS status, COUNT(*) AS n, MIN(n_name) AS first_entity FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
+def json_report(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    outcomes = _t(spark, d, "nation").join(F.broadcast(_t(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("entity"), F.col("r_name").alias("status"), F.col("n_nationkey").alias("k"))
+    logs.write_report(outcomes, "entity", "status", path)
+    r = spark.read.json(path, schema="totals map<string,long>, outcomes map<string,array<struct<entity:string,k:long>>>, n long")
+    return r.select("outcomes", F.explode("totals").alias("status", "n")).select("status", "n", F.array_min(F.transform(F.element_at("outcomes", F.col("status")), lambda x: x["entity"])).alias("first_entity"))
+
+
+@_q("SELECT table_name AS name, CAST(COUNT(*) AS INTEGER) AS n_columns FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier') GROUP BY table_name")
+def catalog_tables(spark: SparkSession, d: str) -> DataFrame:
+    tables.register(spark, d)
+    return logs.catalog(spark, ["pages"]).where(F.col("name").isin("region", "nation", "customer", "supplier")).select("name", "n_columns")
+
+
+@_q("WITH q AS (SELECT CASE WHEN item_id % 7 = 0 THEN 0 ELSE item_id END AS id, item_id FROM benchmark) SELECT CAST(id AS VARCHAR) AS id, 'a refusal without a reason' AS fault FROM q WHERE item_id % 10 = 0 UNION ALL SELECT CAST(id AS VARCHAR), 'unknown category' FROM q WHERE item_id % 3 = 2 UNION ALL SELECT CAST(id AS VARCHAR), 'an answer that expects nothing' FROM q WHERE item_id % 5 <> 0 AND item_id % 4 = 1 UNION ALL SELECT '0', 'an id that comes again'")
+def question_faults(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("item_id")
+    q = _t(spark, d, "benchmark").select(
+        F.when(i % 7 == 0, 0).otherwise(i).cast("string").alias("id"),
+        F.concat(F.lit("c"), (i % 3).cast("string")).alias("category"),
+        F.lit("What is it?").alias("question"),
+        F.when(i % 4 == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("x"))).alias("expected_answer_contains"),
+        (i % 5 == 0).alias("must_refuse"),
+        F.when(i % 10 != 0, F.lit("no_data")).alias("expected_refusal_reason"),
+    )
+    return logs.question_faults(q, ["c0", "c1"])
+
+
+@_q("SELECT CAST(item_id AS VARCHAR) AS id, t.position FROM benchmark JOIN (VALUES (0, '7'), (1, '3'), (3, '11')) t(position, id) ON CAST(item_id AS VARCHAR) = t.id")
+def sample_by_ids(spark: SparkSession, d: str) -> DataFrame:
+    q = _t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"))
+    return logs.chosen(q, ["7", "3", "none", "11"]).select("id", "position")
+
+
+@_q(
+    "WITH s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders WHERE o_orderstatus <> 'P') t WHERE n = 1), h AS (SELECT s.o_custkey, LEAST(COUNT(*), 3) AS n_holdings, MAX(l_extendedprice) AS top_weight FROM s JOIN lineitem ON l_orderkey = o_orderkey GROUP BY s.o_custkey), m AS (SELECT s.o_custkey, COUNT(DISTINCT l_returnflag) AS n_sectors FROM s JOIN lineitem ON l_orderkey = o_orderkey GROUP BY s.o_custkey) "
+    "SELECT c_custkey AS entity_id, s.o_orderkey IS NOT NULL AS has_snapshot, strftime(o_orderdate, '%Y-%m') AS report_month, CASE WHEN o_orderkey % 2 = 0 THEN 0.7 END AS alpha_1y, CASE WHEN s.o_orderkey IS NOT NULL THEN COALESCE(n_holdings, 0) END AS n_holdings, ROUND(top_weight, 2) AS top_weight, CASE WHEN s.o_orderkey IS NOT NULL THEN COALESCE(n_sectors, 0) END AS n_sectors FROM customer LEFT JOIN s ON s.o_custkey = c_custkey LEFT JOIN h ON h.o_custkey = c_custkey LEFT JOIN m ON m.o_custkey = c_custkey"
+)
+def entity_pictures(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders").where("o_orderstatus <> 'P'")
+    odd = F.col("o_orderkey") % 2 == 0
+    snaps = o.select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("snapshot_id"), F.col("o_orderdate").alias("as_of_date"), F.date_format("o_orderdate", "yyyy-MM").alias("report_month"), F.lit(1).alias("revision"), F.lit(None).cast("timestamp").alias("superseded_at"), F.lit(6.65).alias("return_1y"), F.when(odd, F.lit(5.95)).alias("return_1y_bm"))
+    lines = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    last = snapshot.live(snaps).select("entity_id", "report_month", "snapshot_id")
+    held = lines.join(last, F.col("l_orderkey") == F.col("snapshot_id"))
+    holdings = held.select("entity_id", "report_month", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("security_name"), F.col("l_extendedprice").alias("weight_pct"))
+    sectors = held.groupBy("snapshot_id", F.col("l_returnflag").alias("sector")).agg(F.sum("l_extendedprice").alias("weight_pct"))
+    p = snapshot.pictures(_t(spark, d, "customer").select(F.col("c_custkey").alias("entity_id")), snaps, holdings, sectors, k=3)
+    return p.select(
+        "entity_id",
+        "has_snapshot",
+        F.get_json_object("snapshot", "$.report_month").alias("report_month"),
+        F.get_json_object("benchmark", "$.alpha.1y").cast("double").alias("alpha_1y"),
+        F.json_array_length("top_holdings").cast("long").alias("n_holdings"),
+        F.round(F.get_json_object("top_holdings", "$[0].weight_pct").cast("double"), 2).alias("top_weight"),
+        F.json_array_length("sector_weights").cast("long").alias("n_sectors"),
+    )
+
+
+QUERIES |= document_queries.QUERIES
+ORACLE |= document_queries.ORACLE
 #: DuckDB ranks and counts in other widths than Spark: columns that its twin casts.
 _WIDTHS = {
     "window_rank": {"r": "INTEGER", "dr": "INTEGER", "q": "INTEGER"},

@@ -68,6 +68,15 @@ SQL: dict[str, str | tuple[str, str]] = {
         "SELECT o_custkey, period, amount FROM (SELECT o_custkey, ROUND(MIN(o_totalprice), 2) AS least, ROUND(MAX(o_totalprice), 2) AS most, ROUND(SUM(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey) UNPIVOT (amount FOR period IN (least, most, total))",
         "SELECT o_custkey, period, amount FROM (SELECT o_custkey, ROUND(MIN(o_totalprice), 2) AS least, ROUND(MAX(o_totalprice), 2) AS most, ROUND(SUM(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey) UNPIVOT (amount FOR period IN (least, most, total))",
     ),
+    "julian_day": (
+        "SELECT o_orderkey, datediff(to_date(o_orderdate), DATE '1970-01-01') + 2440587.5D AS julian, CAST(to_date(o_orderdate) AS STRING) AS day, date_format(o_orderdate, 'dd.MM.yyyy') AS shown FROM orders",
+        "SELECT o_orderkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 2440587.5::DOUBLE AS julian, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, strftime(o_orderdate, '%d.%m.%Y') AS shown FROM orders",
+    ),
+    "lower_unicode": "SELECT p_partkey, lower(concat('ÄÖÉ Ñ ', p_name, ' ', p_brand)) AS low, upper(concat('äöé ñ ', p_name)) AS up FROM part",
+    "json_encode": (
+        "SELECT o_orderkey, to_json(named_struct('key', o_orderkey, 'day', to_date(o_orderdate), 'status', array(o_orderstatus), 'none', CAST(NULL AS INT))) AS js FROM orders",
+        "SELECT o_orderkey, '{\"key\":' || o_orderkey || ',\"day\":\"' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || '\",\"status\":[\"' || o_orderstatus || '\"]}' AS js FROM orders",
+    ),
     # a query that names the join graph, as callers write it
     "sql_passthrough_agg": "SELECT l_returnflag, l_linestatus, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue, COUNT(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1999-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
     "sql_passthrough_join": "SELECT r_name, COUNT(DISTINCT c_custkey) AS n_customers, ROUND(SUM(o_totalprice), 2) AS spent FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY r_name",

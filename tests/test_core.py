@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import clean, jsonx, text
-from ledgerlake.operators import match, relational, snapshot
+from ledgerlake.operators import document, match, relational, snapshot
 from ledgerlake.plans import guard
 from ledgerlake.sources import tables
 
@@ -32,18 +32,25 @@ def test_to_int_cuts_toward_zero(spark):
     assert one(spark, clean.to_int(F.col("c")), c="1e99") is None
 
 
-@pytest.mark.parametrize("cell", ["4 May 2026", "04-May-26", "2026-05-04", "4/May/2026", "04 May 2026"])
+@pytest.mark.parametrize("cell", ["4 May 2026", "04-May-26", "2026-05-04", "4/May/2026", "04 May 2026", "4  May 2026", " 4 -May- 26 "])
 def test_to_date(spark, cell):
     assert one(spark, clean.to_date(F.col("c")), c=cell) == datetime.date(2026, 5, 4)
 
 
+def test_years_of_two_digits(spark):
+    assert one(spark, clean.to_date(F.col("c")), c="4 May 95") == datetime.date(1995, 5, 4)
+    assert one(spark, clean.to_date(F.col("c")), c="29 Feb 68") == datetime.date(2068, 2, 29)
+
+
 def test_labels(spark):
     assert one(spark, clean.month_key(F.col("c")), c="March 2024") == "2024-03"
     assert one(spark, clean.month_key(F.col("c")), c="MTD") is None
     assert one(spark, clean.period_label(F.col("c")), c="fy 24") == "FY 24"
     assert one(spark, clean.age(F.col("c")), c="2 Years 9 Months") == "2Y 9M"
     assert one(spark, clean.age(F.col("c")), c="new") == "new"
-    assert one(spark, clean.as_of(F.col("c")), c="x As On: 4 May 2026 y") == datetime.date(2026, 5, 4)
+    for spelled in ("As On: 4 May 2026 y", "as on 04-May-26", "AS ON - 4/May/2026,", "As  On:4   May 2026", "As on 04 May 26 12:00"):
+        assert one(spark, clean.as_of(F.col("c")), c=f"x {spelled}") == datetime.date(2026, 5, 4)
+    assert one(spark, clean.as_of(F.col("c")), c="as on nothing") is None
 
 
 def test_text(spark):
@@ -79,13 +86,35 @@ def test_guard_lets_queries_through(spark, sql):
 
 @pytest.mark.parametrize(
     "sql",
-    ["DROP TABLE t", "INSERT INTO t VALUES (1)", "CREATE VIEW v AS SELECT 1", "SET a=b", "RESET", "SHOW TABLES", "CLEAR CACHE", "USE x", "CALL p()", "EXECUTE IMMEDIATE 'SELECT 1'", "SELECT 1) OR EXISTS (SELECT 2", "SELECT reflect('java.lang.System', 'exit', 1)", "", "SELECT 1; SELECT 2", "TRUNCATE TABLE t", "CACHE TABLE t"],
+    ["DROP TABLE t", "INSERT INTO t VALUES (1)", "CREATE VIEW v AS SELECT 1", "SET a=b", "RESET", "SHOW TABLES", "CLEAR CACHE", "USE x", "CALL p()", "EXECUTE IMMEDIATE 'SELECT 1'", "SELECT 1) OR EXISTS (SELECT 2", "SELECT reflect('java.lang.System', 'exit', 1)", "", "SELECT 1; SELECT 2", "TRUNCATE TABLE t", "CACHE TABLE t"]
+    + [
+        "SELECT `reflect`('java.util.UUID', 'randomUUID')",
+        "SELECT reflect/**/('java.lang.System', 'getProperty', 'user.name')",
+        "SELECT ReFlect -- x\n('java.lang.System', 'getProperty', 'user.name')",
+        "SELECT system.builtin.java_method('java.util.UUID', 'randomUUID')",
+        "SELECT try_reflect('java.util.UUID', 'randomUUID')",
+        "SELECT 1 FROM range(1) WHERE EXISTS (SELECT 1 WHERE reflect('java.util.UUID', 'randomUUID') = 'x')",
+        "WITH t AS (SELECT java_method('java.util.UUID', 'randomUUID') AS a) SELECT * FROM t",
+        "SELECT IDENTIFIER('reflect')('java.util.UUID', 'randomUUID')",
+        "SELECT * FROM IDENTIFIER('parquet.`/tmp`')",
+        "SELECT * FROM parquet.`/tmp`",
+        "SELECT TRANSFORM(a) USING 'cat' FROM (SELECT 1 AS a)",
+        "SELECT no_such_function(1)",
+    ],
 )
 def test_guard_refuses(spark, sql):
     with pytest.raises(guard.Refused):
         guard.check(spark, sql)
 
 
+def test_guard_looks_into_windows_and_keeps_the_session(spark):
+    before = spark.conf.get("spark.sql.runSQLOnFiles", "true")
+    with pytest.raises(guard.Refused):
+        guard.query(spark, "SELECT sum(id) OVER w AS s FROM range(2) WINDOW w AS (ORDER BY reflect('java.util.UUID', 'randomUUID'))")
+    assert spark.conf.get("spark.sql.runSQLOnFiles", "true") == before
+    assert guard.query(spark, "SELECT upper('a') AS a, count(*) OVER () AS n, CASE WHEN 1 < 2 THEN 'reflect(x)' END AS `reflect` FROM range(2) JOIN (SELECT explode(array(1)) AS z)").count() == 2
+
+
 def test_guard_strict_and_envelopes(spark):
     with pytest.raises(guard.Refused):
         guard.check(spark, "SELECT 'update'", strict=True)
@@ -122,8 +151,8 @@ def test_take_while_and_anchors(spark):
 
 
 def test_clusters_compare_with_first_member(spark):
-    words = spark.createDataFrame([("d", 1, i, y) for i, y in enumerate([0.0, 3.0, 6.0])], "doc_id string, page int, ord int, top double")
-    assert [r.line for r in relational.clustered_rows(words).orderBy("ord").collect()] == [0, 0, 1]
+    words = spark.createDataFrame([("d", 1, i, 0.0, y, f"w{i}") for i, y in enumerate([0.0, 3.0, 6.0])], "doc_id string, page int, ord int, x0 double, top double, text string")
+    assert [r.tokens for r in document.lines(words, (0.0, 1.0)).orderBy("y").collect()] == [["w0", "w1"], ["w2"]]
 
 
 def test_as_of(spark):
@@ -141,6 +170,35 @@ def test_fuzzy_ignores_null_surface_and_word_order(spark):
     assert [r.k for r in match.fuzzy(df, F.col("s"), "acme MULTI", [F.col("k")]).collect()] == [1]
 
 
+def test_equal_questions_each_have_a_topic(spark):
+    df = spark.createDataFrame([(1, "what is beta"), (1, "what is beta"), (2, None), (3, "alp")], "k int, q string")
+    got = match.first_topic(df, "q", [(0, "gamma"), (1, "beta"), (2, "what"), (3, "alpha")], "topic").collect()
+    assert sorted((r.k, r.topic) for r in got if r.topic is not None) == [(1, 1), (1, 1), (3, 3)]
+    assert len(got) == 4
+
+
+def test_topic_search_by_text_then_vector(spark):
+    q = spark.createDataFrame([(1, "beta?"), (2, "explain"), (3, "far"), (4, "none")], "k int, q string")
+    v = spark.createDataFrame([(2, [1.0, 0.1]), (3, [-1.0, -1.0])], "k int, vector array<double>")
+    t = spark.createDataFrame([(0, [2.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "position int, vector array<double>")
+    got = {r.k: (r.topic, r.how) for r in match.topic_search(q, "k", "q", [(1, "beta")], v, t).collect()}
+    assert got == {1: (1, "alias"), 2: (0, "vector"), 3: (None, "not found"), 4: (None, "not found")}
+
+
+def test_differences_are_of_six_digits(spark):
+    a = spark.createDataFrame([(1, 0.1 + 0.2, "x"), (2, 1234567.0, "y"), (3, None, "z")], "k int, v double, s string")
+    b = spark.createDataFrame([(1, 0.3, "x"), (2, 1234567.4, "y"), (3, None, "z")], "k int, v double, s string")
+    assert relational.symmetric_difference(a, b).collect() == []
+    c = spark.createDataFrame([(1, 0.30001, "x")], "k int, v double, s string")
+    assert sorted(r.side for r in relational.symmetric_difference(a.where("k = 1"), c).collect()) == ["left", "right"]
+
+
+def test_spans_hold_from_start_to_end(spark):
+    facts = spark.createDataFrame([("a", 1), ("a", 5), ("a", 9), ("b", 5)], "k string, t int")
+    spans = spark.createDataFrame([("a", 2, 6, "one"), ("a", 7, 9, "two"), ("a", 9, None, "open")], "k string, since int, until int, name string")
+    assert sorted((r.k, r.t, r.name) for r in relational.valid_at(facts, spans, "k", "t", "since", "until").collect()) == [("a", 5, "one"), ("a", 9, "open")]
+
+
 def test_publish_is_all_or_nothing(spark, tmp_path):
     folder = f"file://{tmp_path}/p"
     tables.publish({"a": spark.range(3), "b": spark.range(2)}, folder, "1")
@@ -165,6 +223,18 @@ def test_entry_imports_without_the_training_data_operators(tmp_path):
         subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)
 
 
+def test_operators_that_miss_a_library_are_left_out(tmp_path):
+    root = Path(__file__).parent.parent
+    shutil.copytree(root / "ledgerlake", tmp_path / "ledgerlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "ledgerlake" / "llm").mkdir()
+    (tmp_path / "ledgerlake" / "llm" / "__init__.py").touch()
+    (tmp_path / "ledgerlake" / "llm" / "queries.py").write_text("import no_such_library\n")
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import warnings; warnings.simplefilter('error', SyntaxWarning); import __spark_entry__ as e; assert len(e.queries()) > 100 and 'pipeline' not in e.queries()"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, check=True)
+    assert "no_such_library" in done.stderr
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as e
 
