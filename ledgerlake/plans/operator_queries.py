@@ -586,7 +586,7 @@ def sample_by_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @_q(
     "WITH s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders WHERE o_orderstatus <> 'P') t WHERE n = 1), h AS (SELECT s.o_custkey, LEAST(COUNT(*), 3) AS n_holdings, MAX(l_extendedprice) AS top_weight FROM s JOIN lineitem ON l_orderkey = o_orderkey GROUP BY s.o_custkey), m AS (SELECT s.o_custkey, COUNT(DISTINCT l_returnflag) AS n_sectors FROM s JOIN lineitem ON l_orderkey = o_orderkey GROUP BY s.o_custkey) "
-    "SELECT c_custkey AS entity_id, s.o_orderkey IS NOT NULL AS has_snapshot, strftime(o_orderdate, '%Y-%m') AS report_month, CASE WHEN o_orderkey % 2 = 0 THEN 0.7 END AS alpha_1y, CASE WHEN s.o_orderkey IS NOT NULL THEN COALESCE(n_holdings, 0) END AS n_holdings, ROUND(top_weight, 2) AS top_weight, CASE WHEN s.o_orderkey IS NOT NULL THEN COALESCE(n_sectors, 0) END AS n_sectors FROM customer LEFT JOIN s ON s.o_custkey = c_custkey LEFT JOIN h ON h.o_custkey = c_custkey LEFT JOIN m ON m.o_custkey = c_custkey"
+    "SELECT c_custkey AS entity_id, s.o_orderkey IS NOT NULL AS has_snapshot, strftime(o_orderdate, '%Y-%m') AS report_month, CASE WHEN o_orderkey % 2 = 0 THEN 0.7::DOUBLE END AS alpha_1y, CASE WHEN s.o_orderkey IS NOT NULL THEN COALESCE(n_holdings, 0) END AS n_holdings, ROUND(top_weight, 2) AS top_weight, CASE WHEN s.o_orderkey IS NOT NULL THEN COALESCE(n_sectors, 0) END AS n_sectors FROM customer LEFT JOIN s ON s.o_custkey = c_custkey LEFT JOIN h ON h.o_custkey = c_custkey LEFT JOIN m ON m.o_custkey = c_custkey"
 )
 def entity_pictures(spark: SparkSession, d: str) -> DataFrame:
     o = _t(spark, d, "orders").where("o_orderstatus <> 'P'")

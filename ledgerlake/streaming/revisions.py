@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -28,9 +31,20 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
 
 
 def appended(stream: DataFrame, folder: str) -> DataStreamWriter:
-    """Each micro-batch in a folder of its own, written again in full if it is retried; readers fold revisions."""
+    """Each micro-batch in a folder of its own, written again in full if it is retried; current() folds revisions."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return stream.writeStream.foreachBatch(write)
+
+
+def revised(spark: SparkSession, folder: str, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """All rows that appended() has written, with revision and superseded_in (the batch of the next one, null for the live row) of each key. order: columns that order rows of one batch."""
+    w = W.partitionBy(*key).orderBy("batch", *order)
+    return spark.read.parquet(folder).withColumn("revision", F.row_number().over(w)).withColumn("superseded_in", F.lead("batch").over(w))
+
+
+def current(spark: SparkSession, folder: str, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The live row of each key: what an upsert would leave."""
+    return revised(spark, folder, key, order).where("superseded_in IS NULL").drop("batch", "superseded_in")

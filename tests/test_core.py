@@ -251,3 +251,31 @@ def test_stream_matches_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, revisions.daily(events).collect()))
+
+
+def test_sessions_of_a_stream(spark, tmp_path):
+    from ledgerlake.streaming import revisions
+
+    events = tables.read(spark, "/root/testdata/sf0.001", "events")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = revisions.sessions(stream).writeStream.outputMode("append").format("memory").queryName("sessions").start()
+    q.processAllAvailable()
+    q.stop()
+    whole = {tuple(r) for r in revisions.sessions(events).collect()}
+    got = [tuple(r) for r in spark.table("sessions").collect()]  # those that the watermark has closed
+    assert set(got) <= whole
+    assert len(got) == len(set(got))
+
+
+def test_appended_batches_fold_to_an_upsert(spark, tmp_path):
+    from ledgerlake.streaming import revisions
+
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    for i, rows in enumerate([[("a", 1), ("b", 2)], [("a", 3)], [("a", 5), ("c", 4)]]):
+        spark.createDataFrame(rows, "k string, v int").coalesce(1).write.mode("append").parquet(str(source))
+        q = revisions.appended(spark.readStream.schema("k string, v int").parquet(str(source)), out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert spark.read.parquet(out).select("batch").distinct().count() == i + 1
+    assert sorted((r.k, r.v, r.revision) for r in revisions.current(spark, out, ["k"], ["v"]).collect()) == [("a", 5, 3), ("b", 2, 1), ("c", 4, 1)]
+    assert [(r.v, r.superseded_in) for r in revisions.revised(spark, out, ["k"], ["v"]).where("k = 'a'").orderBy("revision").collect()] == [(1, 1), (3, 2), (5, None)]
