@@ -372,9 +372,9 @@ def intervals(docs: DataFrame, bits: int) -> DataFrame:
     groups = written(found.groupBy("s1", "s2").agg(F.min("g").alias("f"), F.min("len").alias("len"), F.min("key").alias("key"), F.count("*").alias("n")), "firsts")
     copies = written(found.join(groups.where("n > 1").select("s1", "s2", "f"), ["s1", "s2"]).where("g <> f").select("g", F.col("len").cast("long").alias("len")), "copies")
     drop_written(found)
-    shared = groups.groupBy("key").agg(F.count("*").alias("n_spans")).where("n_spans > 1")
+    shared = written(groups.groupBy("key").agg(F.count("*").alias("n_spans")).where("n_spans > 1"), "shared")  # a table: a hot key's rows can be split in the join
     opened = written(groups.select("key", "s1", F.col("f").alias("g")).join(shared, "key"), "contested")
-    drop_written(groups)
+    drop_written(groups, shared)
     wanted = send(bitmap_of(opened.select(F.col("s1").bitwiseXOR(F.col("g")).alias("h")), "h"))
 
     def cut(num: np.ndarray, texts: list[str]) -> Iterator[tuple]:

@@ -11,11 +11,13 @@ search misses nothing, and short items need few values. Documents are not sketch
 their shingles are looked up, so length does not dilute them as it would in a Jaccard
 estimate. Candidates are verified on the shingles themselves, not on hashes.
 
-Sketches of BLOCK_BYTES of items at a time are broadcast, so their size is bounded; a
-larger benchmark takes more passes over the documents.
+Sketches of about BLOCK_BYTES of items at a time are made and broadcast, so their size is
+bounded on the driver too; a larger benchmark takes more passes over the documents, each
+written before the next block is read.
 
 Defined cases: null texts count as empty; items without a word are in no document; items
-shorter than a shingle are one shingle of all their words; a repeated row of documents
+shorter than a shingle ("yes") say too little to be sought in texts: they are found where
+they are all that a document says; a repeated row of documents
 gets its matches as often as it comes, items that repeat a text match each under its id;
 a null item_id or doc_id is kept as it is; empty tables give an empty result; further
 columns are ignored, and `clean_rows` returns those of documents untouched.
@@ -24,14 +26,16 @@ columns are ignored, and `clean_rows` returns those of documents untouched.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 from math import ceil
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import flat_map_texts, keep_rows, table, word_hashes
+from ledgerlake.llm.common import flat_map_texts, keep_rows, table, word_hashes, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -68,12 +72,17 @@ class Sketches:
     def __init__(self, items: list[tuple[object, str | None]], threshold: float = THRESHOLD, shingle: int = SHINGLE) -> None:
         self.threshold = threshold
         self.items: list[tuple[object, int, frozenset[tuple[str, ...]]]] = []
+        self.shingle, self.short = shingle, {}
         entries: dict[int, list[tuple[int, int]]] = {}
         for item_id, text in items:
             words = words_of(text or "")
             if not words:
                 continue
-            size = min(shingle, len(words))
+            if len(words) < shingle:
+                self.short.setdefault(tuple(words), []).append(len(self.items))
+                self.items.append((item_id, len(words), frozenset([tuple(words)])))
+                continue
+            size = shingle
             grams = [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
             values = dict(zip(grams, _rolled(_word_hashes(words), size).tolist(), strict=True))
             n = len(values)
@@ -98,6 +107,8 @@ class Sketches:
     def find(self, text: str) -> list[tuple[int, int]]:
         """(place of the item, shingles shared) of each item that the text contains."""
         words = words_of(text)
+        if len(words) < self.shingle:
+            return [(i, 1) for i in self.short.get(tuple(words), [])]
         h, out = _word_hashes(words), []
         for size, (keys, of, sieve) in self.lookup.items():
             values = _rolled(h, size)
@@ -116,20 +127,32 @@ class Sketches:
         return out
 
 
-def blocks(benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> list[Sketches]:
+def blocks(benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> tuple[int, Iterator[Sketches]]:
+    """How many blocks of items there are, and each in turn: none is read before the last one has been used."""
     rows = benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = -(-int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // BLOCK_BYTES) or 1
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [Sketches([(r[0], r[1]) for r in rows.where(part == i).collect()], threshold, shingle) for i in range(n)]
+    return n, (Sketches([(r[0], r[1]) for r in rows.where(part == i).collect()], threshold, shingle) for i in range(n))
+
+
+def _passes(docs: DataFrame, n: int, sketches: Iterator[Sketches], over: Callable[[Broadcast], DataFrame], name: str) -> Iterator[DataFrame]:
+    """What `over` makes of each block. One block: as a plan; more: written, so that each broadcast is gone before the next."""
+    for sketch in sketches:
+        sent = docs.sparkSession.sparkContext.broadcast(sketch)
+        del sketch
+        if n == 1:
+            yield over(sent)
+        else:
+            out = written(over(sent), name)
+            sent.destroy()
+            yield out
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, item_id, n_shared, n_shingles and containment of each item found in a document."""
     kind = benchmark.schema["item_id"].dataType.simpleString()
 
-    def found(sketch: Sketches) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(sketch)
-
+    def over(sent: Broadcast) -> DataFrame:
         def run(texts: list[str]) -> tuple[list[int], dict[str, list]]:
             s = sent.value
             rows = [(at, *s.items[i][::2], shared) for at, text in enumerate(texts) for i, shared in s.find(text)]
@@ -137,15 +160,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 
         return flat_map_texts(docs, ["doc_id"], "text", run, f"item_id {kind}, n_shared long, n_shingles long, containment double")
 
-    return reduce(DataFrame.union, map(found, blocks(benchmark, threshold, shingle)))
+    return reduce(DataFrame.union, _passes(docs, *blocks(benchmark, threshold, shingle), over, "matches"))
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs, all columns, that contain no item."""
-    for sketch in blocks(benchmark, threshold, shingle):
-        sent = docs.sparkSession.sparkContext.broadcast(sketch)
-        docs = keep_rows(docs, "text", lambda texts, sent=sent: [not sent.value.find(t) for t in texts])
-    return docs
+    left = docs
+    for left in _passes(docs, *blocks(benchmark, threshold, shingle), lambda sent: keep_rows(left, "text", lambda texts: [not sent.value.find(t) for t in texts]), "clean"):
+        pass
+    return left
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,7 +151,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     parts = plan(sample, nodes.count(), max_bits)
     keys = [_keys(i, bits, t) for i, (bits, t) in enumerate(parts)]
     probes = nodes.select("fp", F.inline(F.concat(*keys)))
-    counts = probes.groupBy("part", "key").agg(F.count("*").alias("n"), F.max("own").alias("held")).where("n > 1 AND held")
+    counts = written(probes.groupBy("part", "key").agg(F.count("*").alias("n"), F.max("own").alias("held")).where("n > 1 AND held"), "keys")  # a table: a dense key's rows can be split in the join
     met = written(probes.join(counts, ["part", "key"]).select("part", "key", "own", "fp", (F.col("n") > DENSE).alias("dense")), "met")
     a = met.where("own AND NOT dense").select("part", "key", F.col("fp").alias("u"))
     b = met.where("NOT dense").select("part", "key", F.col("fp").alias("v"), F.col("own").alias("too"))
@@ -173,7 +173,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     roots = written(components(links(nodes, max_bits), "edges"), "roots")
     named = nodes.join(roots, nodes["fp"] == roots["node"])
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    least = written(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     moved = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     ids = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     ids = written(ids, "ids")  # both sides of the join are plain exchanges then, so a hot fingerprint's partition can be split

@@ -7,8 +7,10 @@ keeps a rate for each coordinate and an L1 penalty, so most weights are exactly
 others are few, their number is at most that of the features of the training rows, and
 they are sent to every task.
 
-Training reads at most SAMPLE_ROWS labelled rows, those of the smallest hash of doc_id,
-in one task and in a fixed order, so a model comes out the same each time. A row takes
+Training reads at most SAMPLE_ROWS labelled rows, those of the smallest hash of doc_id:
+features are made where the texts are, and go to one task in a fixed order, so a model
+comes out the same each time. Of rows that share a doc_id the text of the smallest hash
+takes part. A row takes
 part only if crc32(doc_id as text) mod 3 is not 1. Scoring covers every row in one pass
 without a shuffle.
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import bounded_labels, keep_rows, map_texts, small_batches, table, word_hashes
+from ledgerlake.llm.common import bounded_labels, keep_rows, map_texts, table, text_or_empty, word_hashes
 
 BITS = 22
 SAMPLE_ROWS = 16_000
@@ -111,16 +113,16 @@ def remainder() -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model | None:
     """A model of at most `limit` labelled rows (toxic 1), none of them held out."""
-    spark = docs.sparkSession
-    small_batches(spark)
     few = F.broadcast(bounded_labels(labels.where(remainder() != 1), "toxic", limit))
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(few, "doc_id")
-    ordered = rows.dropDuplicates(["doc_id"]).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "label")
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(few, "doc_id").select("doc_id", "label", F.xxhash64("text").alias("th"), "text")
+    made = map_texts(rows, ["doc_id", "label", "th"], "text", lambda texts: {"x": [distinct_features(t).tobytes() for t in texts]}, "x binary")
+    one = made.groupBy("doc_id").agg(F.min(F.struct("th", "x", "label")).alias("r"))
+    ordered = one.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("r.x", "r.label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, y = [], []
-        for b in batches:  # texts go as soon as their features are there
-            rows += map(distinct_features, b.column(0).to_pylist())
+        for b in batches:
+            rows += (np.frombuffer(x, np.int32) for x in b.column(0).to_pylist())
             y += b.column(1).to_pylist()
         if model := train(rows, y):
             yield pa.RecordBatch.from_arrays([pa.array([model.at.tobytes()]), pa.array([model.values.tobytes()]), pa.array([model.intercept])], names=["at", "w", "b"])

@@ -83,9 +83,8 @@ def classes(prints, max_bits=2):
 def contained(text, item, size=5, threshold=0.8):
     """Distinct shingles of the item that the text has, and how many the item has, if these are enough; else None."""
     words, of = re.findall(r"\w+", (text or "").lower()), re.findall(r"\w+", (item or "").lower())
-    size = min(size, len(of))
-    if not size:
-        return None
+    if len(of) < size:  # only as all that the text says
+        return (1, 1) if of and words == of else None
     need = {tuple(of[i : i + size]) for i in range(len(of) - size + 1)}
     have = {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
     return (len(need & have), len(need)) if len(need & have) >= threshold * len(need) - 1e-9 else None

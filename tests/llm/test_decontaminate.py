@@ -13,7 +13,7 @@ def test_query_equals_brute_force(spark):
     assert got
 
 
-ITEMS = [(1, None), (2, ""), (3, "one two three four five six seven eight nine ten"), (3, "one two three four five six seven eight nine ten"), (None, "id less item of some words"), (5, "long text with"), (6, "again and again in both of these rows which is")]
+ITEMS = [(1, None), (2, ""), (3, "one two three four five six seven eight nine ten"), (3, "one two three four five six seven eight nine ten"), (None, "id less item of some words"), (5, "long text with"), (7, "Unicode 漢字 x"), (8, "ünïcödé 漢字 \x00 X"), (6, "again and again in both of these rows which is")]
 
 
 def test_odd_cases(spark):
@@ -48,6 +48,37 @@ def test_threshold_and_length():
     assert not found(" ".join([*words[:8], "x", *words[8:16], "y", *words[16:]]))
 
 
+def test_short_items_are_whole_documents(spark):
+    docs = spark.createDataFrame([(1, "Yes."), (2, "yes and no"), (3, "so they said yes to all of this again"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "yes"), (11, "YES"), (12, "yes and")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()) == [(1, 10), (1, 11)]
+    assert sorted(r.doc_id for r in decontaminate.clean_rows(docs, items).collect()) == [2, 3, 4]
+
+
+def test_one_broadcast_at_a_time(spark, monkeypatch):
+    from pyspark import Broadcast
+
+    live, most, made = set(), [], spark.sparkContext.broadcast
+
+    def counted(value):
+        sent = made(value)
+        live.add(id(sent))
+        most.append(len(live))
+        destroy = sent.destroy
+        monkeypatch.setattr(sent, "destroy", lambda: (live.discard(id(sent)), destroy()), raising=False)
+        return sent
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", counted)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
+    docs, bench = table(spark, "documents"), table(spark, "benchmark")
+    items = [x for (x,) in pairs(spark, "benchmark", "text")]
+    got = {r.doc_id for r in decontaminate.clean_rows(docs, bench).collect()}
+    assert got == {d for d, t in pairs(spark, "documents", "doc_id", "text") if not any(contained(t, x) for x in items)}
+    assert len(most) >= 10
+    assert max(most) == 1
+    assert isinstance(made(1), Broadcast)
+
+
 def test_many_items_take_several_passes(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4000)
     docs, bench = table(spark, "documents"), table(spark, "benchmark")

@@ -4,16 +4,16 @@ import corpus_pipeline
 from ledgerlake.llm import mixing, token_store, toxicity
 from ledgerlake.llm.common import table, written
 
-from .helpers import SF, classes, contained, fingerprint, no_docs, odd_docs, pairs
+from .helpers import SF, contained, no_docs, odd_docs, pairs
+from .test_near_copies import least_ids
 
 
 def test_run_equals_brute_force(spark):
     docs = {d: (s, t) for d, s, t in pairs(spark, "documents", "doc_id", "source", "text")}
     model = toxicity.fit(table(spark, SF, "documents"), table(spark, SF, "labels"))
     left = {d: x for d, x in docs.items() if model is None or model.score(x[1] or "") < 0.7}
-    prints = [(d, fingerprint(t)) for d, (_, t) in left.items()]
-    least = classes(prints)
-    left = {d: left[d] for d, f in prints if least[f] == d}
+    least = least_ids([(d, t) for d, (_, t) in left.items()])
+    left = {d: x for d, x in left.items() if least[d] == d}
     items = [x for (x,) in pairs(spark, "benchmark", "text")]
     left = {d: x for d, x in left.items() if not any(contained(x[1], i) for i in items)}
     rows = spark.createDataFrame([(d, s) for d, (s, _) in left.items()], "doc_id long, source string")

@@ -1,3 +1,6 @@
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +68,41 @@ def test_same_model_each_time():
     assert a.score("bad words") > 0.7 > a.score("fine")
 
 
+def test_weights_equal_a_plain_version():
+    """FTRL-proximal as published, coordinate by coordinate."""
+    rows = [toxicity.distinct_features(t).tolist() for t in ["a b c", "bad bad words here", "fine words", "bad words", "a bad c"] * 30]
+    y = [0, 1, 0, 1, 0] * 30
+    z, n = {}, {}
+
+    def weight(i, l1):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    penalty = lambda i: 0.0 if i == "one" else toxicity.L1
+    for _ in range(toxicity.EPOCHS):
+        for x, label in zip(rows, y, strict=True):
+            w = {i: weight(i, penalty(i)) for i in [*x, "one"]}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - label) * (toxicity.TOXIC_WEIGHT if label else 1)
+            for i in w:
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / toxicity.ALPHA * w[i]
+                n[i] = old + g * g
+    want = {i: w for i in z if i != "one" and (w := weight(i, penalty(i)))}
+    model = toxicity.train([np.array(x, np.int32) for x in rows], y)
+    assert want
+    assert dict(zip(model.at.tolist(), model.values.tolist(), strict=True)) == pytest.approx(want, rel=1e-5)
+    assert model.intercept == pytest.approx(weight("one", 0.0))
+
+
+def test_one_text_of_a_doc_id_teaches(spark):
+    rows = [(k, "bad words" if k % 2 else "fine day") for k in range(300)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, toxic int")
+    clashing = [*rows, *((k, "something else") for k in range(300))]
+    a, b = (toxicity.fit(spark.createDataFrame(x, "doc_id long, text string").repartition(k), labels) for x, k in ((clashing, 3), (clashing[::-1], 5)))
+    assert (a.at.tolist(), a.values.tolist(), a.intercept) == (b.at.tolist(), b.values.tolist(), b.intercept)
+
+
 def test_query_covers_every_row(spark):
     got = toxicity.op1_toxicity(spark, "/root/testdata/sf0.001")
     assert got.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
