@@ -37,8 +37,8 @@ import json
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
-from functools import cache, lru_cache
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +95,11 @@ class Encoder:
         return out
 
     def learn(self, pieces: set[str]) -> None:
-        """Keeps the ids of pieces. They go to the library in lines, as a line end is a piece of its own there; single calls cost more."""
+        """Keeps the ids of pieces, None for those with UNSURE characters. Pieces go to the library in lines, as a line end is a piece of its own there; single calls cost more."""
+        if UNSURE.search("".join(pieces)):
+            unsure = {p for p in pieces if UNSURE.search(p)}
+            self.young.update(dict.fromkeys(unsure))
+            pieces = pieces - unsure
         lines, alone = [], []
         for p in pieces:
             (alone if self.line_end is None or p.isspace() else lines).append(p)
@@ -111,8 +115,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, END after them."""
-        whole = [not self.by_pieces or UNSURE.search(t) is not None for t in texts]
-        pieces = [[] if w else PIECES.findall(t) for t, w in zip(texts, whole, strict=True)]
+        if not self.by_pieces:
+            return [raw + self.end for raw in self.library(texts)]
+        pieces = list(map(PIECES.findall, texts))
         known, old = self.young, self.old
         missing = set().union(*pieces).difference(known)
         if old:
@@ -120,8 +125,15 @@ class Encoder:
             known.update((p, old[p]) for p in again)
             missing -= again
         self.learn(missing)
-        rest = iter(self.library([t for t, w in zip(texts, whole, strict=True) if w]))
-        out = [(next(rest) if w else b"".join(map(known.__getitem__, ps))) + self.end for ps, w in zip(pieces, whole, strict=True)]
+        out: list[bytes | None] = []
+        for ps in pieces:
+            try:
+                out.append(b"".join(map(known.__getitem__, ps)) + self.end)
+            except TypeError:  # an unsure piece
+                out.append(None)
+        whole = [i for i, raw in enumerate(out) if raw is None]
+        for i, raw in zip(whole, self.library([texts[i] for i in whole]), strict=True):
+            out[i] = raw + self.end
         if len(known) > self.MOST:
             self.young, self.old = {}, known
         return out
@@ -142,23 +154,33 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """The ends of the chunks of a document's ids."""
+def cuts(ids: np.ndarray, lengths: list[int] | None = None) -> list[list[int]]:
+    """The ends of the chunks of each document, as places in it. ids: those of all documents, one after another, of the given lengths."""
+    lengths = [len(ids)] if lengths is None else lengths
     n = len(ids)
     x = ids.astype(np.uint64)
-    h = np.zeros(n, np.uint64)
-    for j in range(min(WINDOW, n)):
-        h[j:] += x[: n - j] * _ODD[j]
+    stops = np.cumsum(lengths, dtype=np.int64) if lengths else np.zeros(0, np.int64)
+    first = np.repeat(stops - lengths, lengths) if lengths else stops
+    since = np.arange(n) - first  # ids before it in its document
+    h = x * _ODD[0]
+    for j in range(1, min(WINDOW, n)):
+        h[j:] += np.where(since[j:] >= j, x[: n - j] * _ODD[j], np.uint64(0))
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    ends, last = [], 0
-    for e in [*(np.flatnonzero((h >> np.uint64(40)) % np.uint64(MEAN_IDS) == 0) + 1).tolist(), n]:
-        while e - last > MOST_IDS:
-            last += MOST_IDS
-            ends.append(last)
-        if e > last:
-            ends.append(last := e)
-    return ends
+    at = np.flatnonzero((h >> np.uint64(40)) % np.uint64(MEAN_IDS) == 0) + 1
+    of = np.searchsorted(at, stops, "right").tolist()
+    at, out, k = at.tolist(), [], 0
+    for stop, size, upto in zip(stops.tolist(), lengths, of, strict=True):
+        ends, last, start = [], 0, stop - size
+        for e in [*at[k:upto], stop]:
+            while e - start - last > MOST_IDS:
+                last += MOST_IDS
+                ends.append(last)
+            if e - start > last:
+                ends.append(last := e - start)
+        k = upto
+        out.append(ends)
+    return out
 
 
 def encoded(docs: DataFrame, order: list[str], path: str) -> DataFrame:
@@ -168,17 +190,18 @@ def encoded(docs: DataFrame, order: list[str], path: str) -> DataFrame:
         e = encoder(path)
         seen: set[bytes] = set()
         rows: list[tuple] = []
-        for at, raw in enumerate(e.encode(texts)):
-            ids, last, names = np.frombuffer(raw, e.kind), 0, []
-            for end in cuts(ids):
-                data = raw[last * e.kind.itemsize : end * e.kind.itemsize]
+        raws, k = e.encode(texts), e.kind.itemsize
+        for at, (raw, ends) in enumerate(zip(raws, cuts(np.frombuffer(b"".join(raws), e.kind), [len(r) // k for r in raws]), strict=True)):
+            last, names = 0, []
+            for end in ends:
+                data = raw[last * k : end * k]
                 name = hashlib.sha256(data).digest()
                 names.append(name)
                 if name not in seen:
                     seen.add(name)
                     rows.append((at, 0, name, end - last, data, None))
                 last = end
-            rows.append((at, 1, b"", len(ids), None, names))
+            rows.append((at, 1, b"", len(raw) // k, None, names))
         return [r[0] for r in rows], {"kind": [r[1] for r in rows], "id": [r[2] for r in rows], "n": [r[3] for r in rows], "data": [r[4] for r in rows], "chunks": [r[5] for r in rows]}
 
     return flat_map_texts(docs, order, "text", run, "kind int, id binary, n long, data binary, chunks array<binary>")
@@ -258,31 +281,22 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/recipes")
 
 
-@cache
-def _shift(n_bytes: int) -> int:
-    """x to the power 8 * n_bytes modulo the CRC-32 polynomial, bits reflected."""
-    power, square, k = 1 << 31, 1 << 23, n_bytes  # 1, and x ** 8
-    while k:
-        if k & 1:
-            power = _times(power, square)
-        square, k = _times(square, square), k >> 1
-    return power
+_ZEROS = memoryview(bytes(4 * MOST_IDS))
 
 
-def _times(a: int, b: int) -> int:
-    out = 0
-    for i in range(31, -1, -1):
-        if a >> i & 1:
-            out ^= b
-        b = (b >> 1) ^ (0xEDB88320 if b & 1 else 0)
-    return out
+@lru_cache(maxsize=1 << 14)
+def _zeros_sum(n: int) -> int:
+    return zlib.crc32(_ZEROS[:n])
 
 
-def combined(parts: list[tuple[int, int]]) -> int:
-    """The CRC-32 of byte strings one after another, from (CRC-32, length) of each."""
+def combined(parts: Iterable[tuple[int, int]]) -> int:
+    """The CRC-32 of byte strings one after another, from (CRC-32, length) of each: a CRC goes on over zeros as over any bytes, and their own CRC is taken out."""
     out = 0
     for crc, n in parts:
-        out = _times(_shift(n), out) ^ crc
+        while n > len(_ZEROS):
+            out = zlib.crc32(_ZEROS, out) ^ _zeros_sum(len(_ZEROS))
+            n -= len(_ZEROS)
+        out = zlib.crc32(_ZEROS[:n], out) ^ _zeros_sum(n) ^ crc
     return out
 
 
@@ -312,12 +326,14 @@ def digests(spark: SparkSession, path: str, order: list[str] | None = None) -> D
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
-            lengths, crcs = [], []
-            for part in b.column(2).to_pylist():
-                if any(x["crc"] is None for x in part):
-                    raise ValueError("a recipe names a chunk that is not stored")
-                lengths.append(sum(x["n"] for x in part))
-                crcs.append(combined([(x["crc"], 4 * x["n"]) for x in part]))
+            parts = b.column(2).flatten()
+            if parts.field("crc").null_count:
+                raise ValueError("a recipe names a chunk that is not stored")
+            crc, n, at, lengths, crcs = parts.field("crc").to_pylist(), parts.field("n").to_pylist(), 0, [], []
+            for k in b.column(2).value_lengths().to_pylist():
+                lengths.append(sum(n[at : at + k]))
+                crcs.append(combined(zip(crc[at : at + k], (4 * x for x in n[at : at + k]), strict=True)))
+                at += k
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], names=["part", "at", "n_read", "ids_crc32"])
 
     got = found.mapInArrow(batches, "part long, at long, n_read long, ids_crc32 long")
