@@ -9,7 +9,8 @@ expression, so that applying it needs no Python.
 Defined cases: a null text counts as an empty one; texts with no word have all counts
 zero; a repeated row is judged as often as it comes; an empty table gives an empty
 result; columns other than doc_id and text are ignored. Learning reads at most
-SAMPLE_ROWS labelled rows; with no label of a class the list is empty and everything
+SAMPLE_ROWS labelled rows; of rows that share a doc_id the one with the least features
+takes part; with no label of a class the list is empty and everything
 passes it.
 """
 
@@ -187,7 +188,7 @@ def learn_from(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) ->
     few = bounded_labels(labels, "quality", limit)
     stats = text_statistics(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id", "left_semi")).where(~base_failed())
     rows = stats.join(F.broadcast(few), "doc_id").select("doc_id", "label", *(c.alias(k) for k, c in features().items())).toPandas()
-    rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    rows = rows.sort_values(["doc_id", *FEATURES], kind="stable").drop_duplicates("doc_id")
     x, bad = {k: rows[k].to_numpy(float) for k in FEATURES}, rows["label"].to_numpy() == 0
     return learn(x, bad) if bad.any() and not bad.all() else []
 

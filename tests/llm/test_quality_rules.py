@@ -1,6 +1,7 @@
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgerlake.llm import quality_rules as q
 
@@ -59,3 +60,22 @@ def test_agrees_with_labels(spark):
     good, bad = [r for r in rows if r.quality == 1], [r for r in rows if r.quality == 0]
     assert sum(r.kept for r in good) >= 0.95 * len(good)
     assert sum(not r.kept for r in bad) >= 0.8 * len(bad)
+
+
+def test_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    rows = []
+    for k in range(3):
+        rules = q.learn_from(docs, labels.where(third != k))
+        rows += q.judge(docs, rules).join(labels.where(third == k), "doc_id").collect()
+    good, bad = [r for r in rows if r.quality == 1 and not r.base_failed], [r for r in rows if r.quality == 0]  # base rules are given, not learned
+    assert len(rows) == labels.count()
+    assert sum(r.kept for r in good) >= 0.98 * len(good)
+    assert sum(not r.kept for r in bad) >= 0.9 * len(bad)
+
+
+def test_clashing_rows_teach_the_same_rules(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    both = docs.select("doc_id", "text").union(docs.select("doc_id", F.lit("another text")))
+    assert q.learn_from(both.repartition(3), labels) == q.learn_from(both.repartition(7, "text"), labels)
