@@ -4,10 +4,11 @@ A conversation is written once, as `formatted`: each turn is
 `<turn role="ROLE">TEXT</turn>` and a line end. In texts and roles & becomes &amp;
 and < becomes &lt; (in roles also " becomes &quot;), so no text can hold a mark and
 unescaping gives back what was there. Every assistant turn is an example of its own:
-its context is all of `formatted` before it, and only its reply is trainable. Contexts
-are prefixes of one text, so an example is kept as three offsets in code points
-(context_end, target_start, target_end) and the output grows with the conversation,
-not with its square; `expanded` gives each example its prompt and reply as texts.
+its context is all of `formatted` before it, and only its reply is trainable. `expanded`
+explodes them into a row each: the reply as a text, and the context as a prefix of the
+conversation (context_end, target_start and target_end in code points), so the output
+grows with the conversation and not with its square; `with_prompts` writes prefixes out.
+What is read back comes from both tables.
 
 Defined cases: null texts and roles count as empty, a role other than `assistant`
 trains nothing; turns are in order of turn (null first), then role, then text, so ties
@@ -57,9 +58,16 @@ def formatted(turns: DataFrame) -> DataFrame:
 
 
 def expanded(conversations: DataFrame) -> DataFrame:
-    """An example a row with its texts: conv_id, turn_number, prompt (all before the reply and its mark), reply (escaped, the only trainable part)."""
+    """An example a row: conv_id, turn_number, context_end, target_start, target_end, reply (escaped, the only trainable part)."""
     e = conversations.select("conv_id", "formatted", F.inline("examples"))
-    return e.select("conv_id", "turn_number", F.expr("substring(formatted, 1, int(target_start))").alias("prompt"), F.expr("substring(formatted, int(target_start) + 1, int(target_end - target_start))").alias("reply"))
+    return e.select("conv_id", "turn_number", "context_end", "target_start", "target_end", F.expr("substring(formatted, int(target_start) + 1, int(target_end - target_start))").alias("reply"))
+
+
+def with_prompts(conversations: DataFrame) -> DataFrame:
+    """As expanded, and prompt: all of the conversation before the reply, its mark included."""
+    texts = conversations.select(F.col("conv_id").alias("c"), "formatted")
+    e = expanded(conversations)
+    return e.join(texts, e["conv_id"].eqNullSafe(F.col("c"))).select(*e.columns, F.expr("substring(formatted, 1, int(target_start))").alias("prompt"))
 
 
 def turns_of(text: Column) -> Column:
@@ -74,26 +82,30 @@ def turns_of(text: Column) -> Column:
     )
 
 
-def digests(conversations: DataFrame) -> DataFrame:
-    """What formatted() has written, read back."""
-    reply = lambda e: unescaped(F.substr(F.col("formatted"), (e["target_start"] + 1).cast("int"), (e["target_end"] - e["target_start"]).cast("int")))
-    read = conversations.select("conv_id", "formatted", "examples", turns_of(F.col("formatted")).alias("turns"), F.array_join(F.transform("examples", reply), "").alias("loss"))
-    return read.select(
+def digests(conversations: DataFrame, examples: DataFrame) -> DataFrame:
+    """What formatted() and expanded() have written, read back."""
+    turns = conversations.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), turns_of(F.col("formatted")).alias("turns")).select(
         "conv_id",
+        "formatted_chars",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"),
-        F.sha2("loss", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
-        F.size("examples").cast("long").alias("n_examples"),
-        F.aggregate("examples", F.lit(0).cast("long"), lambda s, e: s + e["target_end"]).alias("expanded_chars"),
     )
+    replies = examples.groupBy(F.col("conv_id").alias("c")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn_number", unescaped(F.col("reply")).alias("reply")))), lambda x: x["reply"]), "").alias("loss"),
+        F.count("*").alias("n_examples"),
+        F.sum("target_end").alias("expanded_chars"),
+    )
+    replies = replies.select("c", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "n_examples", "expanded_chars")
+    joined = turns.join(replies, turns["conv_id"].eqNullSafe(F.col("c")), "left")
+    none = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
+    return joined.select("conv_id", "n_turns", "turns_sha256", none("loss_chars"), F.coalesce("loss_sha256", F.sha2(F.lit(""), 256)).alias("loss_sha256"), "formatted_chars", none("n_examples"), none("expanded_chars"))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(PROBE_ID).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise(TRAINED), F.lit(PROBE_TEXT))
-    return digests(written(formatted(turns.union(probe)), "chat"))
+    conversations = written(formatted(turns.union(probe)), "chat")
+    return digests(conversations, written(expanded(conversations), "examples"))
 
 
 SQL = r"""

@@ -36,7 +36,7 @@ TURNS = [
 def test_odd_cases(spark):
     turns = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").selectExpr("*", "'own' AS position", "'own' AS shown", "'own' AS head", "'own' AS `end`")
     made = chat.formatted(turns)
-    got = {r.conv_id: r for r in chat.digests(made).collect()}
+    got = {r.conv_id: r for r in chat.digests(made, chat.expanded(made)).collect()}
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     for conv in {r[0] for r in TURNS}:
         own = [(role or "", text or "") for c, _, role, text in TURNS if c == conv]
@@ -45,14 +45,15 @@ def test_odd_cases(spark):
         assert (r.n_turns, r.turns_sha256) == (len(own), sha("".join(f"{a}\n{b}\n" for a, b in own)))
         assert (r.loss_chars, r.loss_sha256) == (len(loss), sha(loss))
     assert {r.conv_id: len(r.formatted) for r in made.collect()} == {k: r.formatted_chars for k, r in got.items()}
-    assert chat.digests(chat.formatted(turns.limit(0))).collect() == []
+    none = chat.formatted(turns.limit(0))
+    assert chat.digests(none, chat.expanded(none)).collect() == []
 
 
 def test_prefixes(spark):
     turns = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
     made = chat.formatted(turns)
     whole = {r.conv_id: r.formatted for r in made.collect()}
-    rows = chat.expanded(made).collect()
+    rows = chat.with_prompts(made).collect()
     assert sorted((r.conv_id, r.turn_number) for r in rows) == [(1, 2), (1, 4), (3, 1), (3, 2), (4, 1)]
     for r in rows:
         assert whole[r.conv_id].startswith(r.prompt + r.reply + chat.TAIL)
