@@ -1,17 +1,21 @@
 r"""Licence scans in DataFrame functions only.
 
 A text is normalised once: lower case, every run of other than letters and digits is one
-space, with sentence and line ends kept apart. Units are its sentences, its lines, its
-paragraphs (between blank lines) and the text as a whole. A unit is compared with licence
-templates by the Dice coefficient over bags of word bigrams,
-2 * shared / (bigrams of the unit + bigrams of the template).
+space, with sentence and line ends kept apart. Units are its lines and up to LINES
+neighbouring lines, its sentences, which may go on over line ends, and up to SENTENCES
+neighbouring ones of a paragraph (between blank lines), pieces between any two of these
+ends, paragraphs, and the text as a whole. A unit is compared with licence templates by
+the Dice coefficient over bags of word bigrams,
+2 * shared / (bigrams of the unit + bigrams of the template), and matches the best of
+those that reach the threshold, so a version or variant of a licence names no other.
 
 Size bounds prune: a unit of a bigrams can reach the threshold d with a template of b only
 if d / (2 - d) * b <= a <= (2 - d) / d * b, so units that fit no template are dropped
 before a bigram is made, and others meet the templates that they fit. Templates are
 literals in the plan, their number and size are fixed; nothing is shuffled or joined.
 
-Defined cases: a null text counts as empty; texts without a unit that fits have no
+Every match holds one of a few anchor words, so neighbours are put together around these
+only. Defined cases: a null text counts as empty; texts without a unit that fits have no
 licence (null, score 0, no matches); units of one word have no bigram and match nothing;
 ties in score go to the template name that comes first; a repeated row is scanned as often
 as it comes; a null doc_id is kept; an empty table gives an empty result; further columns
@@ -30,6 +34,12 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.common import table, text_or_empty
 
 THRESHOLD = 0.8
+#: Neighbouring lines and sentences that make a unit, at most.
+LINES, SENTENCES = 10, 3
+_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_TWO = _BSD + " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_END = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 #: Licence notices and short licences as they are usually given.
 TEMPLATES = {
     "MIT/notice": "Released under the MIT License.",
@@ -44,7 +54,7 @@ TEMPLATES = {
     "AGPL-3.0/notice": "This work is licensed under the GNU Affero General Public License, version 3.",
     "MPL-2.0/header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
     "BSD/notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    "BSD/text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD/text": _BSD,
     "ISC/text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "Unlicense/text": "This is free and unencumbered software released into the public domain.",
     "CC-BY-4.0/notice": "Licensed under CC BY 4.0.",
@@ -63,13 +73,20 @@ def bigrams_of(text: str) -> Counter[str]:
     return Counter(" ".join(p) for p in zip(words, words[1:], strict=False))
 
 
+TEMPLATES |= {
+    "MIT/whole": TEMPLATES["MIT/text"] + " " + _WARRANTY,
+    "BSD-2-Clause/whole": _BSD_TWO + _BSD_END,
+    "BSD-3-Clause/whole": _BSD_TWO + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission." + _BSD_END,
+    "ISC/whole": TEMPLATES["ISC/text"] + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Zlib/whole": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+}
 #: Name, bigrams in all, (bigram, count) of each template, in order of name.
 BAGS = [(name, sum(bag.values()), sorted(bag.items())) for name, bag in ((n, bigrams_of(t)) for n, t in sorted(TEMPLATES.items()))]
 
 
 def normalised(text: Column) -> Column:
     """Lower case words with single spaces; line ends are \\n, sentence ends \\x02."""
-    ends = F.regexp_replace(F.lower(text), r"[.!?]+[ \t]+", "\x02")
+    ends = F.regexp_replace(F.regexp_replace(F.lower(text), r"[.!?]+[ \t]*\n", "\x02\n"), r"[.!?]+[ \t]+", "\x02")
     return F.regexp_replace(ends, r"[^\p{L}\p{N}\n\x02]+", " ")
 
 
@@ -79,7 +96,7 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _matched(unit: Column) -> Column:
-    """(-score, name) of the templates that a unit matches, as an array."""
+    """(-score, name) of the template that a unit matches, or null."""
     bag = _let(F.split(unit, " "), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))
     # A bigram and how often it has come make a key, so shared keys are the shared part of two bags.
     keyed = _let(bag, lambda b: F.transform(b, lambda g, i: F.concat_ws("#", g, F.size(F.filter(F.slice(b, 1, i + 1), lambda x: x == g)).cast("string"))))
@@ -100,25 +117,54 @@ def _matched(unit: Column) -> Column:
         fits = (a * (2 - THRESHOLD) >= THRESHOLD * b) & (a * THRESHOLD <= (2 - THRESHOLD) * b)
         return F.when(fits, F.struct((-2.0 * shared / (a + b)).alias("less"), F.get(names, t).alias("name")))
 
-    return F.filter(_let(keyed, scores), lambda m: m["less"] <= -THRESHOLD)
+    return F.array_min(F.filter(_let(keyed, scores), lambda m: m["less"] <= -THRESHOLD))
+
+
+def _spaces(u: Column) -> Column:
+    return F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))
+
+
+def _neighbours(parts: Column, most: int) -> Column:
+    """Up to `most` neighbouring parts put together, around those that hold an anchor; none that is too long for any template. Parts have single spaces inside."""
+    long = (2 - THRESHOLD) / THRESHOLD * max(b for _, b, _ in BAGS)
+
+    def around(x: Column) -> Column:
+        """x: text, size and whether it holds an anchor of each part. A part may have a space at either end that is trimmed later."""
+        fits = lambda i, n: F.aggregate(F.slice(x, i, n), F.lit(0), lambda s, part: s + part["size"] - 2) <= long
+        joined = lambda i: F.transform(F.filter(F.sequence(F.lit(1), F.least(F.lit(most), F.size(x) - i + 1)), lambda n: fits(i, n)), lambda n: F.array_join(F.transform(F.slice(x, i, n), lambda part: part["text"]), " "))
+        starts = F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: F.exists(F.slice(x, i, most), lambda part: part["held"]))
+        return F.flatten(F.transform(starts, joined))
+
+    return _let(F.transform(parts, lambda p: F.struct(p.alias("text"), _spaces(p).alias("size"), p.rlike(_ANCHORS).alias("held"))), around)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, license (of the best match), score, n_matches (matching units) and licenses (all, sorted) of each row."""
     least, most, d = min(b for _, b, _ in BAGS), max(b for _, b, _ in BAGS), THRESHOLD
-    spaces = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))  # noqa: E731  bigrams of a unit
     # A text without any of the words has no unit that matches, so it is not looked at further.
     low = docs.select("doc_id", F.lower(text_or_empty()).alias("low"))
     low = low.select("doc_id", F.when(F.col("low").rlike(_ANYWHERE), F.col("low")).otherwise(F.lit("")).alias("low"))
     rows = low.select("doc_id", normalised(F.col("low")).alias("t"))
-    rows = rows.select("doc_id", "t", F.translate("t", "\x02", " ").alias("joined"))
-    parts = F.concat(F.split("t", "[\n\x02]"), F.split("joined", "\n"), F.transform(F.split("joined", "\n(?: *\n)+"), lambda x: F.translate(x, "\n", " ")), F.array(F.translate("joined", "\n", " ")))
+    fold = lambda c: F.translate(c, "\n", " ")
+    join = lambda c: F.translate(c, "\x02", " ")
+    single = lambda c: F.regexp_replace(c, " +", " ")
+    rows = rows.select("doc_id", "t", F.split("t", "\n(?: *\n)+").alias("paragraphs"))
+    parts = F.concat(
+        F.split("t", "[\n\x02]"),
+        _neighbours(F.split(single(join("t")), "\n"), LINES),
+        F.flatten(F.transform("paragraphs", lambda p: _neighbours(F.split(single(fold(p)), "\x02"), SENTENCES))),
+        F.transform("paragraphs", lambda p: fold(join(p))),
+        F.array(fold(join("t"))),
+    )
     # The size bounds first, then one look for a word that some template has; few units are left to be trimmed and compared.
-    parts = F.filter(parts, lambda u: (F.length(u) > 2) & (spaces(u) * (2 - d) >= d * least))
+    parts = F.filter(parts, lambda u: (F.length(u) > 2) & (_spaces(u) * (2 - d) >= d * least))
     trimmed = F.transform(F.filter(parts, lambda u: u.rlike(_ANCHORS)), lambda x: F.trim(F.regexp_replace(x, " +", " ")))
-    fit = F.filter(F.array_distinct(trimmed), lambda u: (spaces(u) >= 1) & (spaces(u) * (2 - d) >= d * least) & (spaces(u) * d <= (2 - d) * most))
-    rows = rows.select("doc_id", F.filter(F.transform(fit, _matched), lambda m: F.size(m) > 0).alias("matched"))
-    rows = rows.select("doc_id", F.size("matched").cast("long").alias("n_matches"), F.flatten("matched").alias("every"))
+    fit = F.filter(F.array_distinct(trimmed), lambda u: (_spaces(u) >= 1) & (_spaces(u) * (2 - d) >= d * least) & (_spaces(u) * d <= (2 - d) * most))
+    # A match shares d / (2 - d) of the unit's bigrams at least, so as many of its words are words of templates.
+    vocabulary = sorted({w for _, _, entries in BAGS for gram, _ in entries for w in gram.split(" ")})
+    fit = F.filter(fit, lambda u: F.size(F.filter(F.split(u, " "), lambda w: w.isin(*vocabulary))) * (2 - d) >= d * _spaces(u))
+    rows = rows.select("doc_id", F.filter(F.transform(fit, _matched), lambda m: m.isNotNull()).alias("every"))
+    rows = rows.select("doc_id", F.size("every").cast("long").alias("n_matches"), "every")
     best, names = F.array_min("every"), F.array_sort(F.array_distinct(F.transform("every", lambda m: m["name"])))
     return rows.select("doc_id", best["name"].alias("license"), F.coalesce(-best["less"], F.lit(0.0)).alias("score"), "n_matches", F.concat_ws(",", names).alias("licenses"))
 
@@ -162,14 +208,17 @@ def _sql() -> str:
 WITH template(name, b, gram, n) AS (VALUES {rows}),
 size AS (SELECT DISTINCT name, b FROM template),
 t AS (
-  SELECT row_number() OVER () AS r, doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.!?]+[ \t]+', chr(2), 'g'), '[^\p{{L}}\p{{N}}\n\x02]+', ' ', 'g') AS t FROM documents
+  SELECT row_number() OVER () AS r, doc_id, regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.!?]+[ \t]*\n', chr(2) || chr(10), 'g'), '[.!?]+[ \t]+', chr(2), 'g'), '[^\p{{L}}\p{{N}}\n\x02]+', ' ', 'g') AS t FROM documents
 ),
-j AS (SELECT r, t, replace(t, chr(2), ' ') AS joined FROM t),
+lines AS (SELECT r, string_split(replace(t, chr(2), ' '), chr(10)) AS p, {LINES} AS most FROM t),
+paragraph AS (SELECT r, unnest(regexp_split_to_array(t, '\n(?: *\n)+')) AS x FROM t),
+series AS (SELECT * FROM lines UNION ALL SELECT r, string_split(replace(x, chr(10), ' '), chr(2)), {SENTENCES} FROM paragraph),
+started AS (SELECT r, p, most, unnest(range(1, len(p) + 1)) AS i FROM series),
 raw AS (
-  SELECT r, unnest(regexp_split_to_array(t, '[\n\x02]')) AS u FROM j
-  UNION ALL SELECT r, unnest(string_split(joined, chr(10))) FROM j
-  UNION ALL SELECT r, replace(unnest(regexp_split_to_array(joined, '\n(?: *\n)+')), chr(10), ' ') FROM j
-  UNION ALL SELECT r, replace(joined, chr(10), ' ') FROM j
+  SELECT r, unnest(regexp_split_to_array(t, '[\n\x02]')) AS u FROM t
+  UNION ALL SELECT r, array_to_string(p[i:i + n - 1], ' ') FROM started, (SELECT unnest(range(1, {max(LINES, SENTENCES)} + 1)) AS n) WHERE n <= most AND i + n - 1 <= len(p)
+  UNION ALL SELECT r, replace(replace(x, chr(10), ' '), chr(2), ' ') FROM paragraph
+  UNION ALL SELECT r, replace(replace(t, chr(10), ' '), chr(2), ' ') FROM t
 ),
 unit AS (SELECT DISTINCT r, trim(regexp_replace(u, ' +', ' ', 'g')) AS u FROM raw),
 words AS (SELECT r, u, string_split(u, ' ') AS w FROM unit),
@@ -181,7 +230,7 @@ scored AS (
   FROM counted c JOIN template p ON c.gram = p.gram
   WHERE c.a * {2 - d} >= {d} * p.b AND c.a * {d} <= {2 - d} * p.b GROUP BY c.r, c.u, p.name, c.a, p.b
 ),
-matched AS (SELECT * FROM scored WHERE score >= {d}),
+matched AS (SELECT r, u, arg_min(name, (-score, name)) AS name, max(score) AS score FROM scored WHERE score >= {d} GROUP BY r, u),
 best AS (
   SELECT r, arg_min(name, (-score, name)) AS license, max(score) AS score, count(DISTINCT u) AS n_matches, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM matched GROUP BY r
 )

@@ -36,6 +36,36 @@ def test_near_and_far_texts(spark):
     assert got[7].licenses == "CC0-1.0/notice,MIT/text"
 
 
+def test_wrapped_notices_variants_and_whole_licences(spark):
+    t = licenses.TEMPLATES
+    wrap = lambda text, n: "\n".join(" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    rows = [
+        (1, "Some prose before it. This work is licensed under the GNU General\nPublic License, version 3. And more of it,\non other lines."),
+        (2, "no sentence ends here\nThis work is licensed under the GNU\nGeneral Public License version 2\nand on it goes"),
+        (3, wrap(t["BSD-3-Clause/whole"], 12)),
+        (4, "Copyright (c) 2020 Someone\n\n" + wrap(t["MIT/whole"], 9)),
+        (5, t["CC-BY-SA-4.0/work"]),
+        (6, "A first sentence. " + t["MPL-2.0/header"] + " a place. A last one."),
+        (7, t["AGPL-3.0/notice"] + "\n" + t["AGPL-3.0/notice"]),
+        (8, "word " * 400_000 + "All rights reserved"),
+    ]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    names = {k: r.license for k, r in got.items()}
+    assert names == {1: "GPL-3.0/notice", 2: "GPL-2.0/notice", 3: "BSD-3-Clause/whole", 4: "MIT/text", 5: "CC-BY-SA-4.0/work", 6: "MPL-2.0/header", 7: "AGPL-3.0/notice", 8: None}
+    assert "MIT/whole" in got[4].licenses
+    assert [got[k].licenses for k in (1, 2, 5, 7)] == [names[k] for k in (1, 2, 5, 7)]
+    assert licenses.scan(docs).where("doc_id = 1").collect() == [got[1]] * 2
+
+
+def test_ties_go_to_the_first_name(spark):
+    a, b = licenses.TEMPLATES["MIT/licensed"], licenses.TEMPLATES["MIT/notice"]
+    unit = "the MIT License"
+    assert dice(unit, a) == dice(unit, b)
+    r = licenses.scan(spark.createDataFrame([(1, "under " + unit)], "doc_id long, text string")).first()
+    assert r.license == "MIT/licensed"
+
+
 def test_odd_cases(spark):
     got = licenses.scan(odd_docs(spark)).collect()
     assert len(got) == len(odd_rows())
