@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.common import table, text_or_empty
 
 THRESHOLD = 0.8
+#: d / (2 - d) in whole numbers: units at a bound of size would be lost to the rounding of doubles.
+LESS, MORE = (Fraction(str(THRESHOLD)) / (2 - Fraction(str(THRESHOLD)))).as_integer_ratio()
 #: Neighbouring lines and sentences that make a unit, at most.
 LINES, SENTENCES = 10, 3
 _WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
@@ -114,7 +117,7 @@ def _matched(unit: Column) -> Column:
 
     def score(a: Column, shared: Column, t: Column) -> Column:
         b = F.get(sizes, t)
-        fits = (a * (2 - THRESHOLD) >= THRESHOLD * b) & (a * THRESHOLD <= (2 - THRESHOLD) * b)
+        fits = (a * MORE >= b * LESS) & (a * LESS <= b * MORE)
         return F.when(fits, F.struct((-2.0 * shared / (a + b)).alias("less"), F.get(names, t).alias("name")))
 
     return F.array_min(F.filter(_let(keyed, scores), lambda m: m["less"] <= -THRESHOLD))
@@ -126,7 +129,7 @@ def _spaces(u: Column) -> Column:
 
 def _neighbours(parts: Column, most: int) -> Column:
     """Up to `most` neighbouring parts put together, around those that hold an anchor; none that is too long for any template. Parts have single spaces inside."""
-    long = (2 - THRESHOLD) / THRESHOLD * max(b for _, b, _ in BAGS)
+    long = MORE * max(b for _, b, _ in BAGS) // LESS
 
     def around(x: Column) -> Column:
         """x: text, size and whether it holds an anchor of each part. A part may have a space at either end that is trimmed later."""
@@ -140,7 +143,7 @@ def _neighbours(parts: Column, most: int) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, license (of the best match), score, n_matches (matching units) and licenses (all, sorted) of each row."""
-    least, most, d = min(b for _, b, _ in BAGS), max(b for _, b, _ in BAGS), THRESHOLD
+    least, most = min(b for _, b, _ in BAGS), max(b for _, b, _ in BAGS)
     # A text without any of the words has no unit that matches, so it is not looked at further.
     low = docs.select("doc_id", F.lower(text_or_empty()).alias("low"))
     low = low.select("doc_id", F.when(F.col("low").rlike(_ANYWHERE), F.col("low")).otherwise(F.lit("")).alias("low"))
@@ -157,12 +160,12 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array(fold(join("t"))),
     )
     # The size bounds first, then one look for a word that some template has; few units are left to be trimmed and compared.
-    parts = F.filter(parts, lambda u: (F.length(u) > 2) & (_spaces(u) * (2 - d) >= d * least))
+    parts = F.filter(parts, lambda u: (F.length(u) > 2) & (_spaces(u) * MORE >= LESS * least))
     trimmed = F.transform(F.filter(parts, lambda u: u.rlike(_ANCHORS)), lambda x: F.trim(F.regexp_replace(x, " +", " ")))
-    fit = F.filter(F.array_distinct(trimmed), lambda u: (_spaces(u) >= 1) & (_spaces(u) * (2 - d) >= d * least) & (_spaces(u) * d <= (2 - d) * most))
+    fit = F.filter(F.array_distinct(trimmed), lambda u: (_spaces(u) >= 1) & (_spaces(u) * MORE >= LESS * least) & (_spaces(u) * LESS <= MORE * most))
     # A match shares d / (2 - d) of the unit's bigrams at least, so as many of its words are words of templates.
     vocabulary = sorted({w for _, _, entries in BAGS for gram, _ in entries for w in gram.split(" ")})
-    fit = F.filter(fit, lambda u: F.size(F.filter(F.split(u, " "), lambda w: w.isin(*vocabulary))) * (2 - d) >= d * _spaces(u))
+    fit = F.filter(fit, lambda u: F.size(F.filter(F.split(u, " "), lambda w: w.isin(*vocabulary))) * MORE >= LESS * _spaces(u))
     rows = rows.select("doc_id", F.filter(F.transform(fit, _matched), lambda m: m.isNotNull()).alias("every"))
     rows = rows.select("doc_id", F.size("every").cast("long").alias("n_matches"), "every")
     best, names = F.array_min("every"), F.array_sort(F.array_distinct(F.transform("every", lambda m: m["name"])))

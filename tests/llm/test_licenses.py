@@ -66,6 +66,21 @@ def test_ties_go_to_the_first_name(spark):
     assert r.license == "MIT/licensed"
 
 
+def test_units_at_the_bounds_of_size_equal_sql(spark):
+    rows = []
+    for name, b, _ in licenses.BAGS:  # as many bigrams more or fewer as the threshold allows, and one beyond
+        words = re.sub(r"[\W_]+", " ", licenses.TEMPLATES[name].lower()).split()
+        rows += [" ".join([*words, *(f"w{i}" for i in range(n))]) for n in (b // 2 - 1, b // 2, b // 2 + 1)]
+        rows += [" ".join(words[:n]) for n in (2 * b // 3, 2 * b // 3 + 1, 2 * b // 3 + 2)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    key = lambda r: (r[0], r[1] or "", round(r[2], 9), r[3], r[4])
+    want = sorted(map(key, con.execute(f"SELECT doc_id, license, score, n_matches, licenses FROM ({licenses.SQL})").fetchall()))
+    assert sorted(map(key, licenses.scan(docs).collect())) == want
+    assert any(score == 0.8 for _, _, score, _, _ in want)
+
+
 def test_odd_cases(spark):
     got = licenses.scan(odd_docs(spark)).collect()
     assert len(got) == len(odd_rows())
