@@ -1,16 +1,20 @@
 """Near copies: all pairs of texts with a Jaccard similarity of 0.8 or more over 5-word shingles.
 
-A 64-bit SimHash cannot hold this promise: texts of similarity 0.8 differ in about ten
-bits, where keys of a pigeonhole plan are a few bits wide and meet nearly all texts. So
-the stage searches the shingle sets themselves, by prefix filtering. Each set is sorted
-in one global order; two sets of n and m shingles that are similar enough share a
-shingle among the first n - ceil(0.8 n) + 1 of the one and the first m - ceil(0.8 m) + 1
-of the other. Sizes, the places of the shared shingle and signatures of BITS bits bound the
-overlap, and what passes is verified on the whole sets.
+SimHash comes first. Each set of shingles has a fingerprint; the generalised pigeonhole
+search of simhash.py links those within its MAX_BITS bits, and sets of one fingerprint
+are linked to the least of them. Links count where the whole sets are similar, and make
+the first classes. A 64-bit SimHash alone cannot hold the promise: texts of similarity 0.8
+differ in about ten bits, where keys of a pigeonhole plan are a few bits wide and meet
+nearly all texts. What it leaves apart is searched in the shingle sets themselves, by
+prefix filtering. Each set is sorted in one global order; two sets of n and m shingles
+that are similar enough share a shingle among the first n - ceil(0.8 n) + 1 of the one
+and the first m - ceil(0.8 m) + 1 of the other. Sizes, the places of the shared shingle
+and signatures of BITS bits bound the overlap, and what passes is verified on the whole
+sets.
 
 The order puts frequent shingles last, as counted in a bounded sample. It changes the
-cost and no result. What is wanted are classes, so pairs that are linked already need no
-comparison. In each round the sets of a key are compared with a few pivots of it, those
+cost and no result. What is wanted are classes, so pairs that are linked already, by
+SimHash or in an earlier round, need no comparison. In each round the sets of a key are compared with a few pivots of it, those
 of the classes that have the fewest sets there, and only where the classes differ. Then
 links are put together to classes, pivots leave the key, and a key whose sets are all of
 one class is done. A group of near copies is one class after a round, so its rows grow
@@ -32,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlake.llm import simhash
 from ledgerlake.llm.common import WordHashes, bitmap_of, drop_written, flat_map_texts, let_through, map_texts, release_shuffles, small_batches, written
 from ledgerlake.llm.components import components
 
@@ -86,13 +91,13 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_ids(docs: DataFrame) -> DataFrame:
-    """doc_id, set_id (equal for equal sets), n (shingles) and bits (signature) of each row."""
+    """doc_id, set_id (equal for equal sets), n (shingles), fp (SimHash) and bits (signature) of each row."""
 
     def run(texts: list[str]) -> dict[str, list]:
         hs = list(map(shingles, texts))
-        return {"set_id": list(map(_set_id, hs)), "n": list(map(len, hs)), "bits": list(map(signature, hs))}
+        return {"set_id": list(map(_set_id, hs)), "n": list(map(len, hs)), "fp": [simhash.majority(h.view(np.uint64)) for h in hs], "bits": list(map(signature, hs))}
 
-    return map_texts(docs, ["doc_id"], "text", run, "set_id long, n int, bits array<long>")
+    return map_texts(docs, ["doc_id"], "text", run, "set_id long, n int, fp long, bits array<long>")
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
@@ -161,9 +166,31 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(_similar(F.size(F.array_intersect("a", "b")), F.size("a"), F.size("b"))).select("u", "v")
 
 
+def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) that are similar, as a table; that of pairs is dropped."""
+    near = written(_near(pairs, nodes), "near")
+    live = near.select(F.explode(F.array("u", "v")).alias("set_id")).distinct()
+    held = written(whole_sets(docs, nodes.select("set_id", "first_id").join(live, "set_id", "left_semi")), "sets")
+    out = written(_compared(near, held), "linked")
+    drop_written(held, pairs, near)
+    return out
+
+
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets within simhash.MAX_BITS bits, enough to connect all of them, as a table."""
+    prints = written(nodes.groupBy("fp").agg(F.min("set_id").alias("set_id")), "prints")
+    same = nodes.select("fp", F.col("set_id").alias("u")).join(prints.select("fp", F.col("set_id").alias("v")), "fp").select("u", "v")
+    left, right = (prints.select(F.col("fp").alias(f"fp_{x}"), F.col("set_id").alias(x)) for x in "uv")
+    close = simhash.links(prints.select("fp")).select(F.col("u").alias("fp_u"), F.col("v").alias("fp_v"))
+    both = same.union(close.join(left, "fp_u").join(right, "fp_v").select("u", "v")).where("u <> v")
+    out = written(both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    drop_written(prints)
+    return out
+
+
 def _pivots(left: DataFrame, most: int) -> DataFrame:
     """k, u, m, there and its of the pivots of each key: at most `most` sets, of its rarest classes first. left: key, set_id, n, at, root."""
-    if most == 1:  # no classes yet
+    if most == 1:  # no roots yet
         one = left.groupBy("key").agg(F.min(F.struct("set_id", "n", "at", "root")).alias("p"))
         return one.select(F.col("key").alias("k"), F.col("p.set_id").alias("u"), F.col("p.n").alias("m"), F.col("p.at").alias("there"), F.col("p.root").alias("its"))
     crowd = left.groupBy("key", "root").agg(F.count("*").alias("many"))
@@ -178,26 +205,25 @@ def _rooted(df: DataFrame, roots: DataFrame, column: str, name: str) -> DataFram
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, root) of the classes that all similar sets make; sets without a similar one are left out. nodes: set_id, n, bits and first_id, a document of it."""
+    """(node, root) of the classes that all similar sets make; sets without a similar one are left out. nodes: set_id, n, fp, bits and first_id, a document of it."""
+    found = _linked(docs, nodes, simhash_pairs(nodes))
+    stars = components(found, "edges")
+    roots = written(stars, "roots")
+    drop_written(stars)
     rows = prefixes(docs).repartition("key").distinct()  # one exchange for the distinct rows, the counts and their join
     counts = rows.groupBy("key").agg(F.count("*").alias("rows_of")).where("rows_of > 1")
     left = written(rows.join(counts, "key").select("key", "set_id", "n", "at", F.col("set_id").alias("root")), "met")
-    found, roots, most = None, docs.sparkSession.createDataFrame([], "node long, root long"), 1
+    most = 1
     while not left.isEmpty():
         pivots = written(_pivots(left, most), "pivots")
         shared = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("there"))  # at most, from this key on
         met = left.join(pivots, (left["key"] == F.col("k")) & (F.col("root") != F.col("its")) & _similar(shared, F.col("n"), F.col("m")))
-        pairs = written(met.select(F.least("set_id", "u").alias("u"), F.greatest("set_id", "u").alias("v")).distinct(), "pairs")
-        near = written(_near(pairs, nodes), "near")
-        live = near.select(F.explode(F.array("u", "v")).alias("set_id")).distinct()
-        held = written(whole_sets(docs, nodes.select("set_id", "first_id").join(live, "set_id", "left_semi")), "sets")
-        new = written(_compared(near, held), "linked")
-        drop_written(held, pairs, near)
-        if found is None:
-            found = new
-        else:
-            parts, found = (found, new), written(found.union(new), "links")
-            drop_written(*parts)
+        pairs = met.select(F.least("set_id", "u").alias("u"), F.greatest("set_id", "u").alias("v")).distinct()
+        if most == 1:  # rows of keys have no root yet
+            pairs = _rooted(_rooted(pairs, roots, "u", "of_u"), roots, "v", "of_v").where("of_u <> of_v").select("u", "v")
+        new = _linked(docs, nodes, written(pairs, "pairs"))
+        parts, found = (found, new), written(found.union(new), "links")
+        drop_written(*parts)
         stars = components(found, "edges")
         drop_written(roots)
         roots = written(stars, "roots")
@@ -209,14 +235,14 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         left = written(named.join(apart, "key", "left_semi"), "left")
         drop_written(named)
         most *= GROWTH
-    drop_written(left, *([] if found is None else [found]))
+    drop_written(left, found)
     return roots
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and component_id, the least doc_id of its class, of each row."""
     sets = written(set_ids(docs), "shingles")
-    nodes = sets.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = sets.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"))
     nodes = written(nodes, "nodes")
     roots = links(docs, nodes)
     least = written(roots.join(nodes, roots["node"] == nodes["set_id"]).groupBy("root").agg(F.min("first_id").alias("component_id")), "least")

@@ -51,6 +51,15 @@ DENSE = 64
 PROBE_COST = 3.0
 
 
+def majority(values: np.ndarray) -> int:
+    """The bits that over half of the values (uint64) have, as a signed 64-bit number; none of no value."""
+    counts = np.zeros(BITS, np.int64)
+    for first in range(0, len(values), 1 << 14):
+        some = np.ascontiguousarray(values[first : first + (1 << 14)])
+        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(values), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """As a signed 64-bit number."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only \x20 and \x09-\x0D split
@@ -62,8 +71,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     n = max(1, len(words) - shingle + 1)
     of = xxhash.xxh64_intdigest
     values = np.fromiter((of(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), (ends[len(words) - n :] - 1).tolist(), strict=True)), np.uint64, n)
-    counts = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
+    return majority(values)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -101,8 +109,11 @@ def plan(sample: np.ndarray, n: int, max_bits: int) -> list[tuple[list[int], int
         cost: list[dict[int, float]] = []
         for part in parts:
             x = bits[:, part].astype(np.float32)
-            apart = np.rint(x @ (1 - x).T + (1 - x) @ x.T).astype(np.int64)[np.triu_indices(len(x), 1)] if len(x) > 1 else np.zeros(0, np.int64)
-            near = np.bincount(apart, minlength=len(part) + 1).cumsum()
+            near = np.zeros(len(part) + 1, np.int64)
+            for some in (x[i : i + 256] for i in range(0, len(x), 256)):  # in blocks: the driver is small
+                near += np.bincount(np.rint(some @ (1 - x).T + (1 - some) @ x.T).astype(np.int64).ravel(), minlength=len(part) + 1)
+            near[0] -= len(x)  # with itself
+            near = (near // 2).cumsum()
             of = {-1: 0.0}
             for t in range(min(max_bits, len(part)) + 1):
                 keys = sum(comb(len(part), j) for j in range(t + 1))

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from ledgerlake.llm import near_copies
 
 from .helpers import pairs
@@ -52,3 +53,31 @@ def test_chains_and_clusters(spark, monkeypatch, growth):
     want = least_ids(rows)
     assert 20 < len(set(want.values())) < len(rows)
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
+def test_simhash_makes_the_first_classes(spark, monkeypatch):
+    """Without prefix filtering the stage links what SimHash alone does: similar sets whose fingerprints differ in 2 bits or fewer."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(10):
+        words = [str(rng.randrange(10**6)) for _ in range(500)]
+        for k in (0, 0, 1, 1, 1, 30):  # words that are changed at the end
+            rows.append((len(rows), " ".join([*words[: 500 - k], *(str(rng.randrange(10**6)) for _ in range(k))])))
+    rows += [(900, ""), (901, None), (902, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fp = {r.doc_id: r.fp % 2**64 for r in near_copies.set_ids(docs).collect()}
+    for d, t in rows:
+        h = [int(x) % 2**64 for x in near_copies.shingles(t or "")]
+        assert fp[d] == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    sets, root = {d: shingles(t) for d, t in rows}, {d: d for d, _ in rows}
+    for _ in rows:  # until nothing changes
+        for a in sets:
+            for b in sets:
+                if (fp[a] ^ fp[b]).bit_count() <= 2 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    every = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert {r.doc_id for r in every.collect()} == set(least_ids(rows).values())
+    monkeypatch.setattr(near_copies, "prefixes", lambda docs: spark.createDataFrame([], "key long, set_id long, n int, at int"))
+    left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert left == set(root.values())
+    assert len(set(least_ids(rows).values())) <= len(left) < len(rows) - 20
