@@ -2,6 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
 and read again as the next one's docs. All but the last return the columns of documents.
+A stage begins with heaps that hold nothing of the one before.
 
 1. toxicity: documents with a score of 0.7 or more go.
 2. near-dedup: of each class that links of similarity 0.8 or more over 5-word shingles connect, the
@@ -19,22 +20,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import decontaminate, mixing, near_copies, token_store, toxicity
-from ledgerlake.llm.common import new_path, table, written
+from ledgerlake.llm.common import new_path, release_heaps, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release_heaps(spark)
     return toxicity.clean_rows(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release_heaps(spark)
     return near_copies.one_of_each_class(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release_heaps(spark)
     return decontaminate.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release_heaps(spark)
     return mixing.in_mixed_order(docs)
 
 
@@ -49,9 +54,11 @@ def in_file_order(docs: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release_heaps(spark)
     placed, order = in_file_order(docs)
     path = new_path(spark, "tokens")
     token_store.write_store(placed, path, order)
+    release_heaps(spark)
     token_store.verify(spark, path)
     return token_store.digests(spark, path, order).select("doc_id", "start", "n_tokens", "ids_crc32")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -58,6 +59,20 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Seconds between two collections of the executors' garbage, at least.
+HEAPS_S = 5.0
+_heaps_released: dict[str, float] = {}
+
+
+def release_heaps(spark: SparkSession) -> None:
+    """A full collection on the executors, at most every HEAPS_S seconds. Else heaps grow to their limit by the garbage of finished plans and keep that memory, beside what later plans need out of the heap and for Python."""
+    app, now = spark.sparkContext.applicationId, time.monotonic()
+    if now - _heaps_released.get(app, -HEAPS_S) >= HEAPS_S:
+        n = spark.sparkContext.defaultParallelism  # a task a core: all executors get some
+        spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+        _heaps_released[app] = time.monotonic()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a table of written() once no later plan reads it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

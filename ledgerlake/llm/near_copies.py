@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import simhash
-from ledgerlake.llm.common import WordHashes, bitmap_of, drop_written, flat_map_texts, let_through, map_texts, release_shuffles, small_batches, written
+from ledgerlake.llm.common import WordHashes, bitmap_of, drop_written, flat_map_texts, let_through, map_texts, release_heaps, release_shuffles, small_batches, written
 from ledgerlake.llm.components import components
 
 SHINGLE = 5
@@ -122,6 +122,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
     repeated = flat_map_texts(docs, [], "text", count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
     sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(repeated, "key"))
     release_shuffles(docs.sparkSession)
+    release_heaps(docs.sparkSession)
 
     def run(texts: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         cols: list[tuple] = [(np.zeros(0, np.int64),) * 4]
@@ -169,9 +170,12 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (u, v) that are similar, as a table; that of pairs is dropped."""
     near = written(_near(pairs, nodes), "near")
+    release_heaps(docs.sparkSession)
     live = near.select(F.explode(F.array("u", "v")).alias("set_id")).distinct()
     held = written(whole_sets(docs, nodes.select("set_id", "first_id").join(live, "set_id", "left_semi")), "sets")
+    release_heaps(docs.sparkSession)
     out = written(_compared(near, held), "linked")
+    release_heaps(docs.sparkSession)
     drop_written(held, pairs, near)
     return out
 
@@ -215,7 +219,9 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     left = written(rows.join(counts, "key").select("key", "set_id", "n", "at", F.col("set_id").alias("root")), "met")
     most = 1
     while not left.isEmpty():
+        release_heaps(docs.sparkSession)
         pivots = written(_pivots(left, most), "pivots")
+        release_heaps(docs.sparkSession)
         shared = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("there"))  # at most, from this key on
         met = left.join(pivots, (left["key"] == F.col("k")) & (F.col("root") != F.col("its")) & _similar(shared, F.col("n"), F.col("m")))
         pairs = met.select(F.least("set_id", "u").alias("u"), F.greatest("set_id", "u").alias("v")).distinct()
@@ -228,6 +234,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         drop_written(roots)
         roots = written(stars, "roots")
         drop_written(stars)
+        release_heaps(docs.sparkSession)
         rest = left.join(pivots.select("k", "u"), (left["key"] == F.col("k")) & (left["set_id"] == F.col("u")), "left_anti").drop("root")
         named = written(_rooted(rest, roots, "set_id", "root"), "named")
         drop_written(left, pivots)
@@ -244,11 +251,13 @@ def classes(docs: DataFrame) -> DataFrame:
     sets = written(set_ids(docs), "shingles")
     nodes = sets.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"))
     nodes = written(nodes, "nodes")
+    release_heaps(docs.sparkSession)
     roots = links(docs, nodes)
     least = written(roots.join(nodes, roots["node"] == nodes["set_id"]).groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     moved = roots.join(least, "root").select(F.col("node").alias("set_id"), "component_id")
     ids = written(nodes.join(moved, "set_id", "left").select("set_id", F.coalesce("component_id", "first_id").alias("component_id")), "ids")
     drop_written(nodes, roots, least)
+    release_heaps(docs.sparkSession)
     return sets.select("doc_id", "set_id").join(ids, "set_id").select("doc_id", "component_id")
 
 

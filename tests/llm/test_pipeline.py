@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline
-from ledgerlake.llm import mixing, token_store, toxicity
+from ledgerlake.llm import common, mixing, near_copies, token_store, toxicity
 from ledgerlake.llm.common import table, written
 
 from .helpers import SF, contained, no_docs, odd_docs, pairs
@@ -42,3 +42,16 @@ def test_stages_on_odd_and_empty_documents(spark, k):
         if name in ("mixing", "token_ids"):
             assert out.count() == docs.count()
         assert {r.doc_id for r in out.select("doc_id").collect()} <= {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_stages_release_the_executors_heaps(spark, monkeypatch):
+    docs, collected = written(no_docs(spark), "docs"), []
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    monkeypatch.setattr(common, "HEAPS_S", 0.0)
+    for module in (common, near_copies):  # the driver's own collections do not count here
+        monkeypatch.setattr(module, "release_shuffles", lambda spark: None)
+    for _, stage in corpus_pipeline.STAGES:
+        before = [b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName()]
+        stage(spark, docs, SF)
+        collected.append(sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName()) - sum(before))
+    assert min(collected) >= 1
