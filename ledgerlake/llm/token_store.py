@@ -160,11 +160,17 @@ def cuts(ids: np.ndarray, lengths: list[int] | None = None) -> list[list[int]]:
     n = len(ids)
     x = ids.astype(np.uint64)
     stops = np.cumsum(lengths, dtype=np.int64) if lengths else np.zeros(0, np.int64)
-    first = np.repeat(stops - lengths, lengths) if lengths else stops
-    since = np.arange(n) - first  # ids before it in its document
     h = x * _ODD[0]
     for j in range(1, min(WINDOW, n)):
-        h[j:] += np.where(since[j:] >= j, x[: n - j] * _ODD[j], np.uint64(0))
+        h[j:] += x[: n - j] * _ODD[j]
+    # Over all documents at once; then the first ids of each, which see none of the document before.
+    first, size = stops - np.array(lengths, np.int64), np.minimum(lengths, WINDOW - 1).astype(np.int64)
+    head = np.repeat(first, size)
+    since = np.arange(len(head)) - np.repeat(np.cumsum(size) - size, size)
+    at = head + since
+    h[at] = x[at] * _ODD[0]
+    for j in range(1, WINDOW - 1):
+        h[at[since >= j]] += x[at[since >= j] - j] * _ODD[j]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     at = np.flatnonzero((h >> np.uint64(40)) % np.uint64(MEAN_IDS) == 0) + 1

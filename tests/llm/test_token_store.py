@@ -101,3 +101,23 @@ def test_chunks_do_not_depend_on_place():
     assert token_store.cuts(np.zeros(0, np.int64), []) == []
     # Documents put together are cut as they are alone.
     assert token_store.cuts(np.concatenate([head, same, head[:3]]), [777, 20_000, 3]) == [token_store.cuts(x)[0] for x in (head, same, head[:3])]
+
+
+def test_cuts_of_many_documents_are_those_of_each():
+    rng = np.random.default_rng(7)
+    lengths = [0, 1, 2, 6, 7, 8, 0, 9, 3, 30_000, 5, 700, 0]
+    ids = rng.integers(0, 50_000, sum(lengths)).astype("<u2")
+    stops = np.cumsum(lengths).tolist()
+
+    def plain(x):
+        ends, last = [], 0
+        for i in range(len(x)):
+            h = sum(int(x[i - j]) * int(token_store._ODD[j]) for j in range(min(token_store.WINDOW, i + 1))) % 2**64
+            h = (h ^ h >> 31) * 0xBF58476D1CE4E5B9 % 2**64
+            if (h >> 40) % token_store.MEAN_IDS == 0 or i + 1 - last == token_store.MOST_IDS or i + 1 == len(x):
+                ends.append(last := i + 1)
+        return ends
+
+    want = [plain(ids[b - n : b]) for b, n in zip(stops, lengths, strict=True)]
+    assert token_store.cuts(ids, lengths) == want
+    assert [token_store.cuts(ids[b - n : b])[0] if n else [] for b, n in zip(stops, lengths, strict=True)] == want
