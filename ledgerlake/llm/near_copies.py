@@ -12,8 +12,11 @@ and the first m - ceil(0.8 m) + 1 of the other. Sizes, the places of the shared
 and signatures of BITS bits bound the overlap, and what passes is verified on the whole
 sets.
 
-The order puts frequent shingles last, as counted in a bounded sample. It changes the
-cost and no result. What is wanted are classes, so pairs that are linked already, by
+The order puts frequent shingles last, by levels of how many rows hold them, counted in
+all rows. It changes the cost and no result. A bounded sample would not do: what it
+misses is in ever more rows as a corpus grows, and its pairs grow with the square. The
+levels are two bitmaps of 16 MB; as these fill up, shingles rank higher than they should
+and none is lost. What is wanted are classes, so pairs that are linked already, by
 SimHash or in an earlier round, need no comparison. In each round the sets of a key are compared with a few pivots of it, those
 of the classes that have the fewest sets there, and only where the classes differ. Then
 links are put together to classes, pivots leave the key, and a key whose sets are all of
@@ -27,7 +30,9 @@ shingle is one shingle, and texts without a word are copies of each other.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +42,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import simhash
-from ledgerlake.llm.common import WordHashes, bitmap_of, drop_written, flat_map_texts, let_through, map_texts, release_heaps, release_shuffles, small_batches, written
+from ledgerlake.llm.common import BITMAP, WordHashes, bitmap_of, drop_written, flat_map_texts, let_through, map_texts, release_heaps, release_shuffles, small_batches, written
 from ledgerlake.llm.components import components
 
 SHINGLE = 5
-#: Documents in which shingles are counted, at most, and from how many of them on a shingle is frequent.
-SAMPLE, OFTEN = 8192, 2
+#: From how many rows on a shingle is of level 1, 2 and 3.
+OFTEN = (2, 8, 64)
 #: Bits of a signature; a power of two.
 BITS = 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -76,18 +81,45 @@ def _set_id(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes()) - 2**63
 
 
-def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted, and in how many sets of the sample they are."""
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // SAMPLE))) == 0).limit(SAMPLE)
+def levels(docs: DataFrame) -> np.ndarray:
+    """In how many rows each shingle is, counted in all of docs: two bitmaps, as let_through reads them, of the low and the high bit of its level in OFTEN; the highest of those that share a bit.
 
-    def run(texts: list[str]) -> dict[str, list]:
-        hs = list(map(shingles, texts))
-        return {"set_id": list(map(_set_id, hs)), "hs": hs}
+    Hashes go to parts by their leading bits, as sorted runs, and a part's come to one task
+    in turn: Python holds a batch or a part, the driver 32 MB whatever the input.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    bits = min(17, max(10, (docs.count() >> 14).bit_length()))
+    starts = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
-    rows = map_texts(some, [], "text", run, "set_id long, hs array<long>").toArrow()
-    _, first = np.unique(rows["set_id"].to_numpy(), return_index=True)
-    values, counts = np.unique(rows["hs"].take(pa.array(first)).combine_chunks().flatten().to_numpy(), return_counts=True)
-    return values[counts >= OFTEN], counts[counts >= OFTEN]
+    def dealt(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            made = {_set_id(h): h for h in (shingles(t or "") for t in b.column(0).to_pylist())}
+            h = np.sort(np.concatenate([np.zeros(0, np.int64), *made.values()]).view(np.uint64))
+            runs = [(i, r.tobytes()) for i, r in enumerate(np.split(h, np.searchsorted(h, starts))) if len(r)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in runs], pa.int32()), pa.array([r for _, r in runs], pa.binary())], names=["part", "hs"])
+
+    def planes(part: int, runs: list[bytes]) -> pa.RecordBatch:
+        h, n = np.unique(np.frombuffer(b"".join(runs), np.uint64), return_counts=True)
+        at = (h >> np.uint64(64 - BITMAP)).astype(np.int64) & ((1 << (BITMAP - bits)) - 1)
+        level = np.zeros(1 << (BITMAP - bits), np.uint8)
+        for i, least in enumerate(OFTEN):
+            level[at[n >= least]] = i + 1
+        low, high = (zlib.compress(np.packbits(x, bitorder="little").tobytes(), 1) for x in (level & 1, level >> 1))  # mostly zeros
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([low], pa.binary()), pa.array([high], pa.binary())], names=["part", "low", "high"])
+
+    def counted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((i, r) for b in source for i, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for part, own in groupby(rows, lambda x: x[0]):
+            yield planes(part, [r for _, r in own])
+
+    runs = docs.select(F.col("text").cast("string")).mapInArrow(dealt, "part int, hs binary")
+    rows = runs.repartition("part").sortWithinPartitions("part").mapInArrow(counted, "part int, low binary, high binary").toArrow()
+    out = np.zeros((2, 1 << bits, 1 << (BITMAP - bits - 6)), np.uint64)
+    for part, low, high in zip(*(rows[c] for c in ("part", "low", "high")), strict=True):
+        for plane, x in zip(out, (low, high), strict=True):
+            plane[part.as_py()] = np.frombuffer(zlib.decompress(x.as_py()), np.uint64)
+    return out.reshape(2, -1)
 
 
 def set_ids(docs: DataFrame) -> DataFrame:
@@ -102,33 +134,18 @@ def set_ids(docs: DataFrame) -> DataFrame:
 
 def prefixes(docs: DataFrame) -> DataFrame:
     """key, set_id, n and at (place in the global order): shingles of which similar sets share one, without those that no other row has. A set may come once a batch."""
-    often, counts = frequent(docs)
-
-    def first(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
-        seen = set()
-        for t in texts:
-            h = shingles(t)
-            if not len(h) or (name := _set_id(h)) in seen:
-                continue
-            seen.add(name)
-            at = np.minimum(np.searchsorted(often, h), max(0, len(often) - 1))
-            n = np.where(often[at] == h, counts[at], 0) if len(often) else np.zeros(len(h), np.int64)
-            yield name, len(h), h[np.argsort(n, kind="stable")[: len(h) - -(-4 * len(h) // 5) + 1]]
-
-    def count(texts: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        key, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(k for _, _, k in first(texts))]), return_counts=True)
-        return np.zeros(len(key), np.int64), {"key": key, "n": n}
-
-    repeated = flat_map_texts(docs, [], "text", count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(repeated, "key"))
+    sent = docs.sparkSession.sparkContext.broadcast(levels(docs))
     release_shuffles(docs.sparkSession)
     release_heaps(docs.sparkSession)
 
     def run(texts: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        low, high = sent.value
         cols: list[tuple] = [(np.zeros(0, np.int64),) * 4]
-        for name, n, keys in first(texts):
-            at = np.flatnonzero(let_through(sent.value, keys.view(np.uint64)))
-            cols.append((keys[at], np.full(len(at), name), np.full(len(at), n), at))
+        for name, h in {_set_id(h): h for h in map(shingles, texts) if len(h)}.items():
+            level = let_through(low, h.view(np.uint64)) + 2 * let_through(high, h.view(np.uint64))
+            first = np.argsort(level, kind="stable")[: len(h) - -(-4 * len(h) // 5) + 1]
+            at = np.flatnonzero(level[first])
+            cols.append((h[first[at]], np.full(len(at), name), np.full(len(at), len(h)), at))
         key, name, n, at = (np.concatenate(c) for c in zip(*cols, strict=True))
         return np.zeros(len(key), np.int64), {"key": key, "set_id": name, "n": n.astype(np.int32), "at": at.astype(np.int32)}
 

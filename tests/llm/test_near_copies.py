@@ -1,9 +1,13 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerlake.llm import near_copies
+from ledgerlake.llm.common import let_through
 
 from .helpers import pairs
 
@@ -81,3 +85,30 @@ def test_simhash_makes_the_first_classes(spark, monkeypatch):
     left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
     assert left == set(root.values())
     assert len(set(least_ids(rows).values())) <= len(left) < len(rows) - 20
+
+
+def test_shingles_are_counted_in_all_rows(spark, monkeypatch):
+    """Passages that a few of many rows hold are no keys, however few rows a sample would see."""
+    monkeypatch.setattr(near_copies, "SAMPLE", 16, raising=False)
+    rng = random.Random(7)
+    words = lambda n: [str(rng.randrange(10**9)) for _ in range(n)]
+    passages = [words(30) for _ in range(40)]
+    rows = [(k, " ".join([*words(50), *passages[k % 40], *words(50)])) for k in range(400)]
+    rows += [(400, rows[0][1] + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shared = near_copies.prefixes(docs).distinct().groupBy("key").agg(F.count("*").alias("n"), F.collect_set("set_id").alias("sets")).where("n > 1").collect()
+    assert {frozenset(r.sets) for r in shared} == {frozenset(near_copies._set_id(near_copies.shingles(rows[k][1])) for k in (0, 400))}
+    assert got(docs) == {d: d % 400 for d, _ in rows}
+
+
+def test_levels(spark):
+    rng = random.Random(8)
+    texts = [" ".join(str(min(int(rng.paretovariate(0.7)), 10**6)) for _ in range(rng.randrange(40))) for _ in range(300)] + ["a b c d e"] * 70
+    docs = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").repartition(100)  # a set counts once a batch
+    low, high = near_copies.levels(docs)
+    batches = [{tuple(near_copies.shingles(t or "").tolist()) for t in part} for part in docs.rdd.map(lambda r: r.text).glom().collect()]
+    n = Counter(h for sets in batches for s in sets for h in s)
+    h = np.array(list(n), np.int64).view(np.uint64)
+    level = let_through(low, h) + 2 * let_through(high, h)
+    want = np.searchsorted(near_copies.OFTEN, list(n.values()), side="right")
+    assert (level >= want).all() and (level == want).mean() > 0.99 and set(want) == {0, 1, 2, 3}
