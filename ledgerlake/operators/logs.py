@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +23,13 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"query_id long, {schema}").parquet(path) if there else spark.createDataFrame([], f"query_id long, {schema}")
 
 
-def numbered(rows: DataFrame, order: Sequence[str], last: int = 0) -> DataFrame:
-    """rows with query_id, which goes on from `last` in the given order. A batch of a log is numbered in one task; large ones by the counts of their partitions."""
+def numbered(rows: DataFrame, order: Sequence[str], folder: str, last: int = 0) -> DataFrame:
+    """rows with query_id, which goes on from `last` in the given order. Ranges of the order are found by a sample, another one each time that the plan runs, so the ranged rows are written to the folder, and both counted and numbered as they stand there."""
     n = max(1, rows.rdd.getNumPartitions())
     ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    ranged.write.parquet(folder)
+    schema = ", ".join(f"`{c}` {t}" for c, t in ranged.dtypes)
+    ranged = rows.sparkSession.read.schema(schema).parquet(folder)
     ranged = ranged.withColumn("__p", F.shiftrightunsigned("__at", 33)).withColumn("__i", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))  # a row a partition
     before = counts.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
@@ -35,9 +39,14 @@ def numbered(rows: DataFrame, order: Sequence[str], last: int = 0) -> DataFrame:
 def append(rows: DataFrame, path: str, order: Sequence[str]) -> tuple[int, int]:
     """Appends rows to a log under ids that follow those it has; the first and the last of them. One writer at a time."""
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    last = read_log(rows.sparkSession, path, schema).agg(F.coalesce(F.max("query_id"), F.lit(0))).first()[0]
-    numbered(rows, order, last).write.mode("append").parquet(path)
-    return last + 1, read_log(rows.sparkSession, path, schema).agg(F.coalesce(F.max("query_id"), F.lit(0))).first()[0]
+    spark = rows.sparkSession
+    last = read_log(spark, path, schema).agg(F.coalesce(F.max("query_id"), F.lit(0))).first()[0]
+    staged = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-staged-{uuid.uuid4().hex}")
+    try:
+        numbered(rows, order, staged.toString(), last).write.mode("append").parquet(path)
+    finally:
+        staged.getFileSystem(spark._jsc.hadoopConfiguration()).delete(staged, True)
+    return last + 1, read_log(spark, path, schema).agg(F.coalesce(F.max("query_id"), F.lit(0))).first()[0]
 
 
 def feedback(log: DataFrame, events: DataFrame, path: str) -> None:
