@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 MISSING = ("NA", "N/A", "-", "--", "")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-#: Separators are spaces by then.
-DATE_FORMATS = ("d MMM yyyy", "d MMMM yyyy", "d MMM yy", "d MMMM yy", "yyyy MM dd", "d MM yyyy")
+#: Separators are spaces by then. What a text must look like for a format to fit: one that fails costs an exception a cell.
+DATE_FORMATS = {"d MMM yyyy": r"^\S+ \S{3} \S{4,}$", "d MMMM yyyy": r"^\S+ \S{4,} \S{4,}$", "d MMM yy": r"^\S+ \S{3} \S{2}$", "d MMMM yy": r"^\S+ \S{4,} \S{2}$", "yyyy MM dd": r"^\S{4,} \S{2} \S{2}$", "d MM yyyy": r"^\S+ \S{2} \S{4,}$"}
 
 
 def na_to_null(c: Column) -> Column:
@@ -32,15 +32,16 @@ def to_date(c: Column) -> Column:
     plain = F.trim(F.regexp_replace(c, r"[-/\s]+", " "))
 
     def read(pattern: str) -> Column:
-        day = F.try_to_date(plain, pattern)
+        day = F.when(plain.rlike(DATE_FORMATS[pattern]), F.try_to_date(plain, pattern))
         return day if "yyyy" in pattern else F.when(F.year(day) > 2068, F.add_months(day, -1200)).otherwise(day)
 
     return F.coalesce(*map(read, DATE_FORMATS))
 
 
 def as_of(c: Column) -> Column:
-    """The date after 'As on' in a text, in any spelling of day, month name and year that to_date takes."""
-    return to_date(F.nullif(F.regexp_extract(c, r"(?i)as\s+on\s*[:-]?\s*(\d{1,2}[-/\s]+[A-Za-z]{3,9}[-/\s]+(?:\d{4}|\d{2}))\b", 1), F.lit("")))
+    """The date after 'As on' in a text, in any spelling of day, month name and year that to_date takes. The text is searched once, not for each of the formats."""
+    found = F.regexp_extract(c, r"(?i)as\s+on\s*[:-]?\s*(\d{1,2}[-/\s]+[A-Za-z]{3,9}[-/\s]+(?:\d{4}|\d{2}))\b", 1)
+    return F.get(F.transform(F.array(found), lambda t: F.when(t != "", to_date(t))), F.lit(0))
 
 
 def after_marker(c: Column, marker: str, most: int = 200) -> Column:

@@ -104,6 +104,11 @@ def _let(value: Column, use: Test) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _texts(words: Column, *order: str) -> Column:
+    """The texts of words, joined in an order."""
+    return F.array_join(F.transform(F.sort_array(F.transform(words, lambda w: F.struct(*(w[c].alias(c) for c in order), w["text"].alias("text")))), lambda w: w["text"]), " ")
+
+
 def sound(words: DataFrame) -> DataFrame:
     return words.where("text IS NOT NULL AND trim(text) <> '' AND page IS NOT NULL AND x0 IS NOT NULL AND top IS NOT NULL")
 
@@ -167,11 +172,14 @@ def _spans(words: DataFrame) -> DataFrame:
 def _heading(spans: Column, place: int, share: float) -> Column:
     """The text of the place-th largest size, of spans in the upper share of the page (the first: the largest size there)."""
     tops = F.transform(spans, lambda s: s["top"])
+
+    def of(upper: Column) -> Column:
+        sizes = F.sort_array(F.array_distinct(F.transform(upper if place == 0 else spans, lambda s: s["size"])), asc=False)
+        text = _let(F.get(sizes, F.lit(place)), lambda size: _texts(F.filter(upper, lambda s: s["size"] == size), "top", "ord"))
+        return _let(F.btrim(F.regexp_replace(text, r"\s+", " "), F.lit(" -")), lambda t: F.nullif(t, F.lit("")))
+
     cut = F.array_min(tops) + share * (F.array_max(tops) - F.array_min(tops) + 1e-9)
-    upper = F.filter(spans, lambda s: s["top"] <= cut)
-    sizes = F.sort_array(F.array_distinct(F.transform(upper if place == 0 else spans, lambda s: s["size"])), asc=False)
-    text = _let(F.get(sizes, F.lit(place)), lambda size: F.array_join(F.transform(F.sort_array(F.transform(F.filter(upper, lambda s: s["size"] == size), lambda s: F.struct(s["top"].alias("top"), s["ord"].alias("ord"), s["text"].alias("text")))), lambda s: s["text"]), " "))
-    return F.nullif(F.btrim(F.regexp_replace(text, r"\s+", " "), F.lit(" -")), F.lit(""))
+    return _let(cut, lambda cut: _let(F.filter(spans, lambda s: s["top"] <= cut), of))
 
 
 def value_for(spans: Column, label: str, x_tolerance: float = 30.0, below: float = 30.0, joined: bool = True) -> Column:
@@ -317,22 +325,36 @@ def _anchored(words: DataFrame, weights: DataFrame, most: float) -> DataFrame:
     return words.join(held, ["doc_id", "page"]).withColumn("near", near).where(F.col("near.d") <= most).select(*words.columns, F.col("near.y").alias("y"), F.col("near.anchor").alias("anchor"))
 
 
+def _nearest(weights: Column, word: Column) -> Column:
+    """d, y and anchor of the weight that is nearest to a word, the upper one of two at the same distance; null without weights."""
+    return F.array_min(F.transform(weights, lambda a: F.struct(F.abs(a["top"] - word["top"]).alias("d"), a["top"].alias("y"), a["ord"].alias("anchor"))))
+
+
 def top_holdings(words: DataFrame, most: int = 10) -> DataFrame:
-    """doc_id, rank, security_name, weight_pct and as_of_date: names wrap over lines, so each word goes to the nearest weight."""
-    page = page_words(words, 2)
-    band = page.where((F.col("x0") >= RIGHT[0]) & (F.col("x0") < RIGHT[1]) & (F.col("top") > 55.0))
-    cut = F.min(F.when(F.lower("text").isin(*HOLDINGS_STOPS), F.col("top"))).over(W.partitionBy("doc_id"))
-    band = band.withColumn("cut", cut).where("cut IS NULL OR top < cut").drop("cut")
-    number = _number(F.col("text"))
-    parts = _anchored(band.where(~number), band.where(number), 12.0)
-    part = F.struct("top", "ord", "text")
-    names = parts.groupBy("doc_id", "page", "anchor").agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["text"]), " ").alias("security_name"))
-    rows = band.where(number).select("doc_id", "page", F.col("ord").alias("anchor"), "top", clean.to_double(F.col("text")).alias("weight_pct")).join(names, ["doc_id", "page", "anchor"])
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy("top", "anchor"))).where(F.col("rank") <= most)
-    text = page.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("t"))
-    own = text.select("doc_id", clean.as_of(clean.after_marker(F.col("t"), "top holdings")).alias("own"))
-    dates = own.join(required(words).select("doc_id", "as_of_date"), "doc_id", "left").select("doc_id", F.coalesce("own", "as_of_date").alias("as_of_date"))
-    return ranked.join(dates, "doc_id", "left").select("doc_id", "rank", "security_name", "weight_pct", "as_of_date")
+    """doc_id, rank, security_name, weight_pct and as_of_date: names wrap over lines, so each word goes to the nearest weight. A document's words are gathered once, so nothing is joined."""
+    span = F.struct("ord", F.trim("text").alias("text"), F.col("size").cast("double").alias("size"), F.col("x0").cast("double").alias("x0"), F.col("top").cast("double").alias("top"))
+    word = F.struct("ord", F.col("x0").cast("double").alias("x0"), F.col("top").cast("double").alias("top"), "text")
+    both = sound(words).where("page IN (1, 2)").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("page") == 1, span))).alias("spans"), F.sort_array(F.collect_list(F.when(F.col("page") == 2, word))).alias("page"))
+
+    def ranked(band: Column) -> Column:
+        stops = F.array_min(F.transform(F.filter(band, lambda w: F.lower(w["text"]).isin(*HOLDINGS_STOPS)), lambda w: w["top"]))
+        return _let(stops, lambda cut: _let(F.filter(band, lambda w: cut.isNull() | (w["top"] < cut)), above))
+
+    def above(band: Column) -> Column:
+        return _let(F.filter(band, lambda w: _number(w["text"])), lambda weights: named(band, weights))
+
+    def named(band: Column, weights: Column) -> Column:
+        parts = F.transform(F.filter(band, lambda w: ~_number(w["text"])), lambda w: F.struct(w["top"].alias("top"), w["ord"].alias("ord"), w["text"].alias("text"), _nearest(weights, w).alias("near")))
+        near = F.filter(parts, lambda w: w["near"]["d"] <= 12.0)
+        rows = lambda parts: F.transform(weights, lambda n: F.struct(n["top"].alias("top"), n["ord"].alias("ord"), n["text"].alias("raw"), F.filter(parts, lambda w: w["near"]["anchor"] == n["ord"]).alias("parts")))
+        first = F.slice(F.sort_array(F.filter(_let(near, rows), lambda r: F.size(r["parts"]) > 0)), 1, most)
+        return F.transform(first, lambda r, i: F.struct((i + 1).alias("rank"), _texts(r["parts"], "top", "ord").alias("security_name"), r["raw"].alias("raw")))
+
+    band = F.filter("page", lambda w: (w["x0"] >= RIGHT[0]) & (w["x0"] < RIGHT[1]) & (w["top"] > 55.0))
+    own = clean.as_of(clean.after_marker(F.array_join(F.transform("page", lambda w: w["text"]), " "), "top holdings"))
+    out = both.select("doc_id", own.alias("own"), _heading(F.col("spans"), 0, 0.3).alias("title"), clean.as_of(F.array_join(F.transform("spans", lambda s: s["text"]), " ")).alias("as_of"), _let(band, ranked).alias("rows"))
+    out = out.select("doc_id", F.coalesce("own", F.when(F.col("title").isNotNull(), F.col("as_of"))).alias("as_of_date"), F.inline("rows"))
+    return out.select("doc_id", "rank", "security_name", clean.to_double(F.col("raw")).alias("weight_pct"), "as_of_date")
 
 
 def characteristics(words: DataFrame) -> DataFrame:

@@ -281,3 +281,22 @@ def test_no_words(spark, words):
 
 def test_labels():
     assert json.loads(json.dumps(sorted(doc.EXPECTED))) == ["arbitrage", "debt", "equity", "hybrid", "multi_asset"]
+
+
+def _joins(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("BroadcastExchange") + plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin")
+
+
+def test_top_holdings_gathers_a_document_once(words):
+    assert _joins(doc.top_holdings(words)) == 0
+
+
+def test_documents_are_dealt_before_they_become_words(spark, tmp_path):
+    from ledgerlake.plans import document_queries as q
+
+    spark.range(1, 2 * q.DOCUMENTS + 2).selectExpr("id AS p_partkey", "'a b' AS p_name", "'Brand#1' AS p_brand", "'ECONOMY' AS p_type", "5 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    w = q.words(spark, str(tmp_path))
+    assert w.rdd.getNumPartitions() == 3
+    plan = doc.top_holdings(w)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
