@@ -127,13 +127,16 @@ def first_page_with(words: DataFrame, anchor: str, pages: Sequence[int]) -> Data
 def clusters(words: Column, tolerance: float = 3.5) -> Column:
     """Words (an array of structs with top, in order) as (top, words) of each line: a word joins the first line whose first word is within the tolerance."""
 
-    def add(lines: Column, w: Column) -> Column:
-        near = F.array_position(F.transform(lines, lambda r: F.abs(r["top"] - w["top"]) < tolerance), True)
-        new = F.concat(lines, F.array(F.struct(w["top"].alias("top"), F.array(w).alias("words"))))
-        return _let(near, lambda at: F.when(at == 0, new).otherwise(F.transform(lines, lambda r, i: F.when(i + 1 == at, F.struct(r["top"].alias("top"), F.concat(r["words"], F.array(w)).alias("words"))).otherwise(r))))
+    def add(found: Column, w: Column) -> Column:
+        near = F.array_position(F.transform(found["tops"], lambda top: F.abs(top - w["top"]) < tolerance), True)
+        new = F.struct(F.concat(found["tops"], F.array(w["top"])).alias("tops"), F.concat(found["at"], F.array((F.size(found["tops"]) + 1).cast("long"))).alias("at"))
+        return _let(near, lambda at: F.when(at == 0, new).otherwise(F.struct(found["tops"].alias("tops"), F.concat(found["at"], F.array(at)).alias("at"))))
 
-    none = F.filter(F.transform(words, lambda w: F.struct(w["top"].alias("top"), F.array(w).alias("words"))), lambda r: F.lit(False))
-    return F.aggregate(words, none, add)
+    def gathered(found: Column) -> Column:
+        return F.transform(found["tops"], lambda top, i: F.struct(top.alias("top"), F.filter(words, lambda w, j: F.get(found["at"], j) == i + 1).alias("words")))
+
+    none = F.struct(F.array().cast("array<double>").alias("tops"), F.array().cast("array<bigint>").alias("at"))
+    return _let(F.aggregate(words, none, add), gathered)
 
 
 def lines(words: DataFrame, band: tuple[float, float], tolerance: float = 3.5) -> DataFrame:
@@ -407,9 +410,11 @@ def investment_style(words: DataFrame) -> DataFrame:
     rows = lines(page_words(words, 2), STYLE)
     styles = ("blend", "growth", "value")
     low = F.transform("tokens", lambda t: F.lower(t))
-    heads = rows.where(reduce(lambda a, b: a & b, (F.array_contains(low, s) for s in styles))).groupBy("doc_id").agg(F.min("y").alias("head_y"), F.min_by("words", "y").alias("head"))
+    is_head = reduce(lambda a, b: a & b, (F.array_contains(low, s) for s in styles))
+    head = F.min(F.when(is_head, F.struct("y", "words"))).over(W.partitionBy("doc_id"))
+    rows = rows.withColumn("head", head).select("doc_id", "y", "words", "label", F.col("head.y").alias("head_y"), F.col("head.words").alias("head"))
     x = lambda s: F.get(F.filter("head", lambda w: F.lower(w["text"]) == s), F.lit(0))["x0"]
-    after = rows.join(heads, "doc_id").where("y > head_y").withColumn("cap", _first({"large cap": "Large Cap", "mid cap": "Mid Cap", "small cap": "Small Cap"}, F.col("label"))).where("cap IS NOT NULL")
+    after = rows.where("y > head_y").withColumn("cap", _first({"large cap": "Large Cap", "mid cap": "Mid Cap", "small cap": "Small Cap"}, F.col("label"))).where("cap IS NOT NULL")
     nearest = lambda w: F.array_min(F.array(*(F.struct(F.abs(x(s) - w["x0"]).alias("d"), F.lit(i).alias("i")) for i, s in enumerate(styles))))["i"]
     cells = F.transform(F.filter("words", lambda w: _value(w["text"])), lambda w: F.struct(nearest(w).alias("i"), w["text"].alias("text")))
     first = after.groupBy("doc_id", "cap").agg(F.min_by(cells, "y").alias("cells"))

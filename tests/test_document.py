@@ -300,3 +300,7 @@ def test_documents_are_dealt_before_they_become_words(spark, tmp_path):
     assert w.rdd.getNumPartitions() == 3
     plan = doc.top_holdings(w)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_investment_style_reads_the_lines_once(words):
+    assert _joins(doc.investment_style(words)) == 0
