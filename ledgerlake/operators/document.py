@@ -321,13 +321,6 @@ def sector_weights(words: DataFrame) -> DataFrame:
     return _pairs(held).select("doc_id", F.col("name").alias("sector"), F.col("value").alias("weight_pct"))
 
 
-def _anchored(words: DataFrame, weights: DataFrame, most: float) -> DataFrame:
-    """Each word with the nearest of its group's weights, the upper one of two at the same distance, if that is near enough. Groups: doc_id, page."""
-    held = weights.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct(F.col("top").cast("double").alias("top"), "ord"))).alias("anchors"))
-    near = F.array_min(F.transform("anchors", lambda a: F.struct(F.abs(a["top"] - F.col("top")).alias("d"), a["top"].alias("y"), a["ord"].alias("anchor"))))
-    return words.join(held, ["doc_id", "page"]).withColumn("near", near).where(F.col("near.d") <= most).select(*words.columns, F.col("near.y").alias("y"), F.col("near.anchor").alias("anchor"))
-
-
 def _nearest(weights: Column, word: Column) -> Column:
     """d, y and anchor of the weight that is nearest to a word, the upper one of two at the same distance; null without weights."""
     return F.array_min(F.transform(weights, lambda a: F.struct(F.abs(a["top"] - word["top"]).alias("d"), a["top"].alias("y"), a["ord"].alias("anchor"))))
@@ -453,38 +446,66 @@ def periodic_returns(words: DataFrame, months: DataFrame | None = None) -> DataF
     return dated.where("period_label IS NOT NULL").select("doc_id", "period_type", "period_label", "return_pct")
 
 
+def _cells(rows: Column, anchors: Column) -> Column:
+    """y and the texts of the columns of each row: words (with column and near) by their anchor."""
+
+    def row(own: Column) -> Column:
+        cell = lambda i: F.trim(_texts(F.filter(own, lambda w: w["column"] == i), "top", "x0", "ord"))
+        return F.struct(F.array_min(F.transform(own, lambda w: w["near"]["y"])).alias("y"), *(cell(i + 1).alias(c) for i, c in enumerate(HOLDINGS_BANDS)))
+
+    return F.transform(anchors, lambda a: _let(F.filter(rows, lambda w: w["near"]["anchor"].eqNullSafe(a)), row))
+
+
 def holdings(words: DataFrame) -> DataFrame:
-    """The rows of the detailed table, from its page on until a page that ends it or has none: columns by the places of the header's words, rows by the nearest weight."""
-    w = sound(words)
-    text = w.groupBy("doc_id", "page").agg(F.lower(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ")).alias("t"))
-    starts = text.where(F.contains("t", F.lit("detailed portfolio"))).groupBy("doc_id").agg(F.min("page").alias("first_page"))
-    on_first = w.join(starts, "doc_id").where("page = first_page")
-    security = on_first.where("lower(text) = 'security'").groupBy("doc_id").agg(F.min_by("top", "ord").alias("head_y"))
-    heads = on_first.join(security, "doc_id").where("abs(top - head_y) < 6.0").withColumn("column", F.try_element_at(F.create_map(*(F.lit(x) for pair in HOLDINGS_COLUMNS.items() for x in pair)), F.rtrim(F.lower("text"), F.lit(":"))))
-    heads = heads.where("column IS NOT NULL").groupBy("doc_id", "column").agg(F.min_by("x0", "ord").cast("double").alias("lo")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("column", F.when(F.col("column") == "security_name", F.lit(0.0)).otherwise(F.col("lo"))))).alias("found"))
-    usual = F.create_map(*(F.lit(x) for pair in HOLDINGS_BANDS.items() for x in pair))
-    bands = starts.join(heads, "doc_id", "left").select("doc_id", "first_page", F.when(F.size("found") == len(HOLDINGS_BANDS), F.col("found")).otherwise(usual).alias("bands"))
-    left = lambda x, b: F.array_max(F.filter(F.map_values(b), lambda v: v <= x))
-    placed = w.join(bands, "doc_id").where("page >= first_page")
-    column = F.get(F.map_keys(F.map_filter("bands", lambda k, v: v == left(F.col("x0"), F.col("bands")))), F.lit(0))
-    placed = placed.withColumn("column", column).withColumn("is_weight", (F.col("column") == "weight_pct") & _number(F.col("text")))
-    ends = text.select("doc_id", "page", F.coalesce(*(F.when(F.contains("t", F.lit(p)), F.lit(p.split(" ")[0])) for p in HOLDINGS_ENDS)).alias("end_word"), F.array_compact(F.array(*(F.when(F.contains("t", F.lit(p)), F.lit(p.split(" ")[0])) for p in HOLDINGS_ENDS))).alias("end_words"))
-    placed = placed.join(ends, ["doc_id", "page"])
-    page = W.partitionBy("doc_id", "page")
-    end_y = F.min(F.when(F.exists("end_words", lambda e: F.contains(F.lower("text"), e)), F.col("top"))).over(page)
-    start_y = F.when(F.col("page") == F.col("first_page"), F.min(F.when(F.col("is_weight"), F.col("top"))).over(page) - 2.0)
-    placed = placed.withColumn("end_y", end_y).withColumn("start_y", start_y).where("(start_y IS NULL OR top >= start_y) AND (end_y IS NULL OR top < end_y)")
-    keys = ["doc_id", "page", "ord", "top", "x0", "text", "column"]
-    near = _anchored(placed.select(*keys), placed.where("is_weight").select(*keys), 9.0)
-    cell = lambda c: F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("column") == c, F.struct("top", "x0", "ord", "text")))), lambda x: x["text"]), " "))
-    rows = near.groupBy("doc_id", "page", "anchor").agg(F.min("y").alias("y"), *(cell(c).alias(c) for c in HOLDINGS_BANDS))
-    rows = rows.withColumn("weight_pct", clean.to_double(F.col("weight_pct"))).where(F.col("security_name").rlike(r"\p{L}") & F.col("weight_pct").between(-25.0, 105.0))
+    """The rows of the detailed table, from its page on until a page that ends it or has none: columns by the places of the header's words, rows by the nearest weight. A page's words are gathered once; what pages tell each other goes by windows over a document's pages, so nothing is joined."""
+    word = F.struct("ord", F.col("x0").cast("double").alias("x0"), F.col("top").cast("double").alias("top"), "text")
+    pages = sound(words).groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(word)).alias("ws"))
+    pages = pages.withColumn("t", F.lower(F.array_join(F.transform("ws", lambda w: w["text"]), " ")))
+    document = W.partitionBy("doc_id")
+    first = F.min(F.when(F.contains("t", F.lit("detailed portfolio")), F.col("page"))).over(document)
+    pages = pages.withColumn("first_page", first).where("page >= first_page")
+
+    name = lambda w: F.rtrim(F.lower(w["text"]), F.lit(":"))
+    at = {column: heading for heading, column in HOLDINGS_COLUMNS.items()}
+
+    def found(heads: Column) -> Column:
+        lows = F.array(*(F.get(F.filter(heads, lambda w: name(w) == at[c]), F.lit(0))["x0"] for c in HOLDINGS_BANDS))
+        return _let(lows, lambda x: F.when(F.forall(x, lambda v: v.isNotNull()), F.transform(x, lambda v, i: F.when(i == list(HOLDINGS_BANDS).index("security_name"), F.lit(0.0)).otherwise(v))))
+
+    placed = F.filter("ws", lambda w: w["ord"].isNotNull())
+    head_y = F.get(F.filter(placed, lambda w: F.lower(w["text"]) == "security"), F.lit(0))["top"]
+    bands = F.when(F.col("page") == F.col("first_page"), _let(head_y, lambda y: _let(F.filter(placed, lambda w: F.abs(w["top"] - y) < 6.0), found)))
+    usual = F.array(*(F.lit(x) for x in HOLDINGS_BANDS.values()))
+    pages = pages.withColumn("own", bands).withColumn("bands", F.coalesce(F.max("own").over(document), usual))
+    weight = list(HOLDINGS_BANDS).index("weight_pct") + 1
+    end_words = F.array_compact(F.array(*(F.when(F.contains("t", F.lit(p)), F.lit(p.split(" ")[0])) for p in HOLDINGS_ENDS)))
+    pages = pages.withColumn("end_words", end_words)
+
+    def columns(w: Column) -> Column:
+        column = F.array_position("bands", F.array_max(F.filter("bands", lambda v: v <= w["x0"])))
+        return F.struct(w["ord"].alias("ord"), w["x0"].alias("x0"), w["top"].alias("top"), w["text"].alias("text"), column.alias("column"), ((column == weight) & _number(w["text"])).alias("is_weight"))
+
+    def rows_of(ws: Column) -> Column:
+        top = lambda xs: F.array_min(F.transform(xs, lambda w: w["top"]))
+        end = top(F.filter(ws, lambda w: F.exists("end_words", lambda e: F.contains(F.lower(w["text"]), e))))
+        start = F.when(F.col("page") == F.col("first_page"), top(F.filter(ws, lambda w: w["is_weight"])) - 2.0)
+        within = lambda span: F.filter(ws, lambda w: (span["start"].isNull() | (w["top"] >= span["start"])) & (span["end"].isNull() | (w["top"] < span["end"])))
+        return _let(F.struct(start.alias("start"), end.alias("end")), lambda span: _let(within(span), anchored))
+
+    def anchored(ws: Column) -> Column:
+        near = lambda weights: F.filter(F.transform(ws, lambda w: F.struct(w["ord"].alias("ord"), w["x0"].alias("x0"), w["top"].alias("top"), w["text"].alias("text"), w["column"].alias("column"), _nearest(weights, w).alias("near"))), lambda w: w["near"]["d"] <= 9.0)
+        kept = _let(F.filter(ws, lambda w: w["is_weight"]), near)
+        return _let(kept, lambda rows: _let(F.array_distinct(F.transform(rows, lambda w: w["near"]["anchor"])), lambda anchors: _cells(rows, anchors)))
+
+    fits = lambda r: r["security_name"].rlike(r"\p{L}") & clean.to_double(r["weight_pct"]).between(-25.0, 105.0)
+    pages = pages.select("doc_id", "page", "first_page", "end_words", F.filter(_let(F.transform("ws", columns), rows_of), fits).alias("rows"))
     # Pages go on up to one that ends the table, and up to one without rows.
-    stop = text.join(starts, "doc_id").where("page >= first_page").join(ends, ["doc_id", "page"]).join(rows.select("doc_id", "page").distinct().withColumn("has", F.lit(True)), ["doc_id", "page"], "left")
-    last = stop.groupBy("doc_id").agg(F.min(F.when(F.col("end_word").isNotNull(), F.col("page"))).alias("last_page"), F.min(F.when(F.col("has").isNull() & (F.col("page") > F.col("first_page")), F.col("page"))).alias("gap"))
-    rows = rows.join(last, "doc_id").where("(last_page IS NULL OR page <= last_page) AND (gap IS NULL OR page < gap)")
+    last = F.min(F.when(F.size("end_words") > 0, F.col("page"))).over(document)
+    gap = F.min(F.when((F.size("rows") == 0) & (F.col("page") > F.col("first_page")), F.col("page"))).over(document)
+    pages = pages.withColumn("last_page", last).withColumn("gap", gap).where("(last_page IS NULL OR page <= last_page) AND (gap IS NULL OR page < gap)")
+    rows = pages.select("doc_id", "page", F.inline("rows"))
     plain = [clean.na_to_null(F.col(c)).alias(c) for c in ("sector", "market_cap", "instrument_type", "risk_rating", "investment_style")]
-    return rows.select("doc_id", "page", "y", "security_name", "weight_pct", *plain, clean.to_date(F.col("held_since")).alias("held_since"))
+    return rows.select("doc_id", "page", "y", "security_name", clean.to_double(F.col("weight_pct")).alias("weight_pct"), *plain, clean.to_date(F.col("held_since")).alias("held_since"))
 
 
 SECTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {

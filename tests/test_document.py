@@ -304,3 +304,7 @@ def test_documents_are_dealt_before_they_become_words(spark, tmp_path):
 
 def test_investment_style_reads_the_lines_once(words):
     assert _joins(doc.investment_style(words)) == 0
+
+
+def test_holdings_gather_a_page_once(words):
+    assert _joins(doc.holdings(words)) == 0
