@@ -432,12 +432,17 @@ def periodic_returns(words: DataFrame, months: DataFrame | None = None) -> DataF
         "fy": F.when(first == "FYTD", first).when((first == "FY") & second.rlike(r"^\d{2,4}$"), F.concat(F.lit("FY "), second)),
         "cy": F.when(first == "YTD", first).when((first == "CY") & second.rlike(r"^\d{2,4}$"), F.concat(F.lit("CY "), second)),
     }
-    out = []
-    for kind, start in (("monthly", monthly), ("fy", yearly), ("cy", yearly)):
-        after = between_anchors(rows, ["doc_id", "page"], F.col("y"), start, F.lit(False))
-        held = take_while(after, ["doc_id", "page"], [F.col("y")], end).where((F.size(values) > 0) & label[kind].isNotNull())
-        out.append(held.select("doc_id", "page", F.lit(kind).alias("period_type"), label[kind].alias("period_label"), clean.to_double(F.get(values, F.lit(0))).alias("return_pct")))
-    every = reduce(DataFrame.union, out)
+    page = W.partitionBy("doc_id", "page")
+    begun = lambda start: F.min(F.when(start, F.col("y"))).over(page)
+    rows = rows.select("doc_id", "page", "y", "label", "tokens", values.alias("values"), end.alias("end"), begun(monthly).alias("from_month"), begun(yearly).alias("from_year"))
+    so_far = page.orderBy("y").rowsBetween(W.unboundedPreceding, 0)
+    ended = lambda start: F.max((F.col("end") & (F.col("y") > F.col(start))).cast("int")).over(so_far)
+    rows = rows.withColumn("month_ended", ended("from_month")).withColumn("year_ended", ended("from_year")).where("size(values) > 0")
+    within = lambda start, ended: (F.col("y") > F.col(start)) & (F.col(ended) == 0)
+    of = {"monthly": within("from_month", "month_ended"), "fy": within("from_year", "year_ended"), "cy": within("from_year", "year_ended")}
+    kinds = F.array(*(F.struct(F.lit(k).alias("period_type"), F.when(held, label[k]).alias("period_label")) for k, held in of.items()))
+    every = rows.select("doc_id", "page", F.get("values", F.lit(0)).alias("raw"), F.inline(F.filter(kinds, lambda x: x["period_label"].isNotNull())))
+    every = every.select("doc_id", "page", "period_type", "period_label", clean.to_double(F.col("raw")).alias("return_pct"))
     best = F.min("page").over(W.partitionBy("doc_id", "period_type"))
     every = every.withColumn("best", best).where("page = best")
     if months is None:

@@ -306,5 +306,10 @@ def test_investment_style_reads_the_lines_once(words):
     assert _joins(doc.investment_style(words)) == 0
 
 
+def test_periodic_returns_read_the_words_once(words):
+    plan = doc.periodic_returns(words)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") == 1
+
+
 def test_holdings_gather_a_page_once(words):
     assert _joins(doc.holdings(words)) == 0
