@@ -537,6 +537,9 @@ def expected(spark_of: DataFrame) -> DataFrame:
 
 def errors(kinds: DataFrame, found: Mapping[str, DataFrame]) -> DataFrame:
     """doc_id, section and error of each section that a document of its kind should have and that found has no row of. kinds: doc_id, kind."""
-    have = reduce(DataFrame.union, (df.select("doc_id", F.lit(name).alias("section")) for name, df in found.items())).distinct()
-    wanted = kinds.select("doc_id", "kind").join(F.broadcast(expected(kinds)), "kind").where(F.col("section").isin(*found))
-    return wanted.join(have, ["doc_id", "section"], "left_anti").select("doc_id", "section", F.concat(F.col("section"), F.lit(" not found")).alias("error"))
+    of = F.create_map(*(x for k, sections in EXPECTED.items() for x in (F.lit(k), F.array(*(F.lit(s) for s in sections if s in found)).cast("array<string>"))))
+    wanted = kinds.select("doc_id", F.explode(F.try_element_at(of, F.col("kind"))).alias("section"), F.lit(1).alias("wanted"))
+    have = (df.select("doc_id", F.lit(name).alias("section")).distinct().withColumn("wanted", F.lit(0)) for name, df in found.items())
+    least = F.min("wanted").alias("least")  # 0: the document has the section
+    rows = reduce(DataFrame.union, have, wanted).groupBy("doc_id", "section").agg(least, F.sum("wanted").alias("n")).where("least = 1")
+    return rows.select("doc_id", "section", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("__i")).select("doc_id", "section", F.concat(F.col("section"), F.lit(" not found")).alias("error"))

@@ -313,3 +313,11 @@ def test_periodic_returns_read_the_words_once(words):
 
 def test_holdings_gather_a_page_once(words):
     assert _joins(doc.holdings(words)) == 0
+
+
+def test_errors_are_told_apart_without_joins(spark):
+    kinds = spark.createDataFrame([("a", "debt"), ("b", "debt"), ("c", "none"), ("d", None)], "doc_id string, kind string")
+    found = {"header": kinds.where("doc_id = 'a'"), "drawdown": kinds.limit(0)}
+    got = doc.errors(kinds, found)
+    assert _joins(got) == 0
+    assert [tuple(r) for r in got.collect()] == [("b", "header", "header not found")]
